@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massif.llm import decontaminate, packing, simhash, token_counts
+from massif.llm import decontaminate, language_id, line_quality, packing, simhash, token_counts
 from massif.plans.shared import fresh_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,6 +21,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
@@ -33,6 +38,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language_id.learn(docs.filter(~language_id.held_out()))
+    found = language_id.identify(docs, profiles, keep=["doc_id"])
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -41,8 +53,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_line_quality": op2_line_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_token_counts": op6_token_counts,
+    "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
 }
 # Words are cut as the operator cuts them; windows of each length an item has are joined on their words.
@@ -69,4 +83,33 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": _OP1}
+_OP2 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    row_number() OVER () AS rid
+  FROM documents),
+raw AS (SELECT rid, host, t, w2.l AS l, w2.pos AS pos FROM d, LATERAL (SELECT unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS pos) w2),
+lines AS (SELECT rid, host, t, l, pos, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS nl, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n
+  FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+sizes AS (SELECT host, count(DISTINCT t) AS n_all FROM lines GROUP BY host),
+common AS (
+  SELECT c.host, c.nl FROM (SELECT host, nl, count(DISTINCT t) AS docs FROM lines GROUP BY host, nl) c JOIN sizes s ON c.host = s.host
+  WHERE docs > 20 AND docs > 0.01 * n_all),
+removed AS (SELECT rid, sum(n) AS n_removed FROM lines JOIN common ON lines.host = common.host AND lines.nl = common.nl GROUP BY rid),
+dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n_dup FROM lines GROUP BY rid),
+win AS (SELECT rid, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (
+  SELECT rid, count(DISTINCT p) AS n_rep
+  FROM (SELECT win.rid AS rid, unnest(range(i, i + 3)) AS p FROM win JOIN (SELECT rid, g FROM win GROUP BY rid, g HAVING count(*) > 1) r ON win.rid = r.rid AND win.g = r.g)
+  GROUP BY rid),
+f AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed_words
+  FROM d LEFT JOIN removed ON d.rid = removed.rid LEFT JOIN dup ON d.rid = dup.rid LEFT JOIN rep ON d.rid = rep.rid)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.3 * n_words AS kept
+FROM f
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": _OP1, "op2_line_quality": _OP2}
