@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massif.llm import chat_format, decontaminate, language_id, line_quality, packing, simhash, token_counts, url_reputation
+from massif.llm import chat_format, decontaminate, language_id, line_quality, packing, simhash, token_counts, url_reputation, warc
 from massif.plans.shared import fresh_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that every distinct text is encoded here."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,6 +78,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_quality": op2_line_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_warc": op4_warc,
     "op6_token_counts": op6_token_counts,
     "op7_url_reputation": op7_url_reputation,
     "op8_language_id": op8_language_id,
@@ -132,6 +138,20 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM f
 """
 
+# Base32 of the SHA-1 from its hexadecimal digits: five digits are twenty bits, which four letters stand for.
+_OP4 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, row_number() OVER () AS rid FROM pages),
+h AS (SELECT page_id, rid, b, sha1(b) AS x FROM p),
+d AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(x, CAST(i // 4 AS BIGINT) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS digest,
+    max(page_id) OVER (PARTITION BY x) AS last, row_number() OVER (PARTITION BY x, page_id) AS copy
+  FROM h)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = last AND copy = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last AND copy = 1 THEN NULL ELSE last END AS refers_to
+FROM d
+"""
+
 _OP7 = r"""
 WITH rest AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 p AS (
@@ -188,6 +208,7 @@ FROM t
 ORACLES: dict[str, str] = {
     "op1_decontamination": _OP1,
     "op2_line_quality": _OP2,
+    "op4_warc": _OP4,
     "op7_url_reputation": _OP7,
     "op10_chat_format": _OP10,
 }
