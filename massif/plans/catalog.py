@@ -1,4 +1,6 @@
 """All queries over the reference tables, by name, with their oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from massif.plans.queries import keys  # noqa: F401
+from massif.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
