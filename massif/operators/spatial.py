@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +29,8 @@ def epsilon_join(left: DataFrame, right: DataFrame, eps: float, axes: tuple[str,
     The right side's rows are sent to their own cell of side eps and those around it; no cap on neighbours. Null
     coordinates join nothing."""
     r = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns})
-    around = F.array(F.array().cast("array<long>"))
-    for a in axes:
-        around = F.flatten(F.transform(around, lambda have, a=a: F.transform(F.array(*[bucket(F.col(f"r_{a}"), eps) + k for k in (-1, 0, 1)]), lambda c: F.concat(have, F.array(c)))))
+    steps = product((-1, 0, 1), repeat=len(axes))
+    around = F.array(*[F.array(*[bucket(F.col(f"r_{a}"), eps) + k for a, k in zip(axes, s, strict=True)]) for s in steps])
     r = r.dropna(subset=[f"r_{a}" for a in axes]).withColumn("_cell", F.explode(around))
     l = left.withColumn("_cell", F.array(*[bucket(F.col(a), eps) for a in axes]))
     d2 = distance2(axes, tuple(f"r_{a}" for a in axes))
