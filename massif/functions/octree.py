@@ -62,6 +62,12 @@ def cells_on(level: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), level.cast("int"))
 
 
+def last_on(level: Column) -> Column:
+    """The last index of a level: as many ones as its keys have bits."""
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (64 - 3 * level).cast("int"))
+    return F.when(level > 0, ones).otherwise(F.lit(0).cast("long"))
+
+
 def valid(level: Column, index: Column) -> Column:
     return level.between(0, MAX_LEVEL) & (index >= 0) & (F.call_function("shiftright", index, (3 * level).cast("int")) == 0) | (level == MAX_LEVEL) & (index >= 0)
 
@@ -89,7 +95,8 @@ def ancestor(level: Column, index: Column, on: Column) -> Column:
 
 def descendants(level: Column, index: Column, on: Column) -> tuple[Column, Column]:
     """First and last index of the contiguous range of descendants on a level."""
-    return F.when(on >= level, down(index, on - level)), F.when(on >= level, down(index + 1, on - level) - 1)
+    first = down(index, on - level)
+    return F.when(on >= level, first), F.when(on >= level, first.bitwiseOR(last_on(on - level)))
 
 
 def is_ancestor(level: Column, index: Column, of_level: Column, of_index: Column, include_self: bool = False) -> Column:
@@ -122,7 +129,7 @@ def neighbour(level: Column, index: Column, dx: int, dy: int, dz: int) -> Column
 
 
 def following(level: Column, index: Column) -> Column:
-    return F.when(index < F.call_function("shiftleft", F.lit(1).cast("long"), (3 * level).cast("int")) - 1, index + 1)
+    return F.when(index < last_on(level), F.try_add(index, F.lit(1).cast("long")))
 
 
 def preceding(index: Column) -> Column:
