@@ -50,7 +50,7 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    parts = F.transform(F.split(unescape(role), r"\\\\\\\\"), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n")))
+    parts = F.transform(F.split(unescape(role), r"\\\\"), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n")))
     return F.array_join(parts, "\\")
 
 
