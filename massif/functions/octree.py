@@ -1,6 +1,9 @@
 """Keys of an octree: level and Morton index (63 bits at most), as Column functions.
 
-Bit b of x, y, z is bit 3b, 3b+1, 3b+2 of the index. A space is a cube from `low` of side `extent`."""
+Bit b of x, y, z is bit 3b, 3b+1, 3b+2 of the index. A space is a cube from `low` of side `extent`.
+
+encode() and decode() are plain bit arithmetic, so that they stay in generated code; they refer to their argument many
+times. Store an index before filtering on what is decoded from it, or Catalyst copies its definition into every use."""
 
 from __future__ import annotations
 

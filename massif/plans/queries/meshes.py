@@ -225,7 +225,7 @@ _LO, _HI = (-0.2, -0.2, -0.2), (0.1, 0.1, 0.2)
 _MEET = " AND ".join(f"-1 + {fx.sql_coord('index', k, 5)} * (2.0 / 32) < {_HI[k]} AND -1 + ({fx.sql_coord('index', k, 5)} + 1) * (2.0 / 32) > {_LO[k]}" for k in range(3))
 for _name, _keep in (("cut_inside", True), ("cut_outside", False)):
     def _cut(spark, sf, keep=_keep):
-        return merge.cut_leaves(fx.leaves(spark, sf), fx.UNIT, _LO, _HI, 5, keep_inside=keep)
+        return merge.cut_leaves(stash(fx.leaves(spark, sf), "leaves"), fx.UNIT, _LO, _HI, 5, keep_inside=keep)
 
     query(_name, f"WITH {fx.PT}, {fx.LEAF} SELECT level, index FROM leaf WHERE {'' if _keep else 'NOT '}({_MEET})")(_cut)
 
