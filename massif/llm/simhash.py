@@ -11,7 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massif.llm.tokens import arrow_chunks
@@ -154,9 +154,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """`docs` with one row of each component: that of the smallest id, and one only where ids or rows repeat."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    row = F.struct(F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id"), F.col("digest").alias("_digest"))
-    kept = found.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))).agg(F.min(row).alias("_r")).select("_r.*")
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_digest"))
-    left = docs.join(kept, match, "left_semi")
-    one = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0)))
-    return left.withColumn("_one", one).filter("_one = 1").drop("_one")
+    empty = F.lit("" if dict(docs.dtypes)[id_col] == "string" else 0).cast(docs.schema[id_col].dataType)
+
+    def keys(digest: Column) -> list[Column]:
+        return [F.col(id_col).isNull().alias("_none"), F.coalesce(F.col(id_col), empty).alias("_id"), digest.alias("_digest")]
+
+    component = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
+    kept = found.groupBy(component.alias("_c")).agg(F.min(F.struct(*keys(F.col("digest")))).alias("_r")).select("_r.*")
+    # The join and the numbering of repeated rows share one exchange of the texts.
+    names = ["_none", "_id", "_digest"]
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys(F.xxhash64(text_col))).join(kept, names, "left_semi")
+    one = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
+    return left.withColumn("_n", one).filter("_n = 1").select("_row.*")
