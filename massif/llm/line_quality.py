@@ -116,7 +116,8 @@ def judge(docs: DataFrame, *, text_col: str = "text", host_col: str = "source",
     removed = lines.join(common, ["host", "line"]).groupBy("host", "content").agg(F.sum("n").alias("n_removed_words"), F.collect_set("line").alias("removed_lines"))
     removed = stash(removed.withColumnsRenamed({"host": "_h", "content": "_c"}), "removed-lines")
     base = docs.select(*columns, _host(docs, host_col).alias("_host"), F.xxhash64(text_col).alias("_content"), *text_figures(F.col(text_col)))
-    joined = base.join(removed, (F.col("_host") == F.col("_h")) & (F.col("_content") == F.col("_c")), "left")
+    # Removed lines grow with the corpus: merged, never broadcast, so that the plan is alike at every size.
+    joined = base.join(removed.hint("merge"), (F.col("_host") == F.col("_h")) & (F.col("_content") == F.col("_c")), "left")
     n, rep = F.col("_f.n_words"), F.col("_f.n_repeat_words")
     out = joined.select(
         *columns, n.alias("n_words"), F.col("_f.word_chars").alias("word_chars"), "n_symbols", "n_dup_lines", rep.alias("n_repeat_words"),
