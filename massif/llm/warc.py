@@ -107,8 +107,8 @@ def write_warc(pages: DataFrame, path: str, *, key_col: str = "page_id", url_col
     marks = revisits(rows, least_bytes).select("key", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "digest", "refers_to", F.lit(0).alias("kind"))
     both = marks.union(rows.select("key", "url", "payload", "digest", none.cast("long").alias("refers_to"), F.lit(1).alias("kind")))
     both = both.withColumn("shard", shard_of(F.col("key"), starts))
-    # One range of shards a task: each task has whole shards, in order.
-    dealt = both.repartition(len(starts) + 1, "shard").sortWithinPartitions("shard", "key", "digest", "kind", "url").select("shard", "key", "url", "payload", "digest", "refers_to", "kind")
+    # A shard a task, each in the partition of its number: hashing would put several into one.
+    dealt = both.repartitionById(len(starts) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "digest", "kind", "url").select("shard", "key", "url", "payload", "digest", "refers_to", "kind")
 
     def write(batches):
         fs, root = _filesystem(path)
