@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "index_status_counts", "key_neighbours", "shifted_point_to_cell", "box_cover", "traverse_refine_pruned", "raster_fold", "reduce_mode", "upscale_bilinear", "lanczos3_down",
     "eps_pairs", "nearest_ancestor_join", "tile_cover_painter", "mesh_boundary_edges", "cut_inside", "cut_outside", "point_in_mask", "simple_merge_actions", "weld_components", "level_targets",
+    "clip_box", "clip_polygon_2d", "mesh_bfs", "split_cluster_parts", "mesh_validate", "barycentric_interpolate", "segment_distance", "padded_bounds",
 ]
 
 
