@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from massif.functions import octree, quadtree, srs, texts
-from massif.operators import spatial
+from massif.operators import outline, spatial
 from massif.plans import fixtures as fx
 from massif.plans.registry import query, rounded
 
@@ -206,3 +206,12 @@ def _(spark, sf):
 @query("coarse_cell_counts", f"WITH {fx.PT} SELECT {fx.sql_cell(2)} AS cell, count(*) AS n FROM pt GROUP BY 1")
 def _(spark, sf):
     return fx.points(spark, sf).groupBy(octree.cell_of(fx.UNIT, F.lit(2), F.col("x"), F.col("y"), F.col("z")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("mask_simplify")
+def _(spark, sf):
+    """One ring of 360 corners for each label, its radius taken from the points of the label."""
+    p = fx.points(spark, sf).groupBy("label", (F.col("id") % 360).alias("seq")).agg(F.avg("x").alias("x"))
+    t = F.radians(F.col("seq").cast("double"))
+    ring = p.select(F.col("label").alias("mask"), F.lit(0).alias("component"), F.lit(0).alias("ring"), "seq", ((1 + F.col("x") / 100) * F.cos(t)).alias("x"), ((1 + F.col("x") / 100) * F.sin(t)).alias("y"))
+    return outline.simplify_outlines(ring, 0.01)

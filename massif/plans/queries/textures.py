@@ -49,3 +49,10 @@ def _(spark, sf):
     up = k.filter("x % 3 = 0").select((F.col("zoom") - 2).alias("zoom"), F.shiftright("x", 2).alias("x"), F.shiftright("y", 2).alias("y"))
     tiles = k.filter("(x + y) % 2 = 0").union(up).distinct()
     return texture.splat(tiles.withColumn("v", (F.col("x") * 31 + F.col("y") * 17 + F.col("zoom")) % 256), 6, "v")
+
+
+@query("atlas_square")
+def _(spark, sf):
+    k = F.col("p_partkey")
+    images = fx.read(spark, sf, "part").select(F.floor(k / 40).alias("node"), k.alias("id"), (8 + k * 7 % 40).alias("w"), (4 + k * 11 % 30).alias("h"))
+    return texture.square_plan(images, "node", "id")
