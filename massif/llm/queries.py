@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massif.llm import chat_format, decontaminate, language_id, line_quality, packing, simhash, token_counts, url_reputation, warc
+from massif.llm import binary_output, chat_format, decontaminate, language_id, line_quality, packing, simhash, token_counts, url_reputation, warc
 from massif.plans.shared import fresh_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment as read back from the files; ids of this vocabulary take two bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return binary_output.packed_round_trip(docs, public_tokenizers.path(TOKENIZER), id_bytes=2).withColumnRenamed("id", "doc_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that every distinct text is encoded here."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,6 +85,7 @@ QUERIES = {
     "op2_line_quality": op2_line_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_warc": op4_warc,
+    "op5_binary_output": op5_binary_output,
     "op6_token_counts": op6_token_counts,
     "op7_url_reputation": op7_url_reputation,
     "op8_language_id": op8_language_id,
