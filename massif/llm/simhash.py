@@ -151,9 +151,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(known, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` with one row of each component: that of the smallest id, and one only where ids or rows repeat."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates, **how) -> DataFrame:
+    """`docs` with one row of each component: that of the smallest id, and one only where ids or rows repeat. `near` finds
+    the components."""
+    found = near(docs, id_col=id_col, text_col=text_col, **how)
     empty = F.lit("" if dict(docs.dtypes)[id_col] == "string" else 0).cast(docs.schema[id_col].dataType)
 
     def keys(digest: Column) -> list[Column]:
