@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
 import types
 from array import array
@@ -10,6 +11,10 @@ from array import array
 # Fixed value: the splitting pattern of byte-level BPE with use_regex.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# tiktoken's regex engine gives up on about a million white-space characters in a row, and the task with it.
+LONGEST_SPACE = 100_000
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{LONGEST_SPACE},}}")
+
 
 def _byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes stand for themselves,
@@ -30,7 +35,8 @@ class TextEncoder:
     """Encodes texts with a `tokenizers` file, giving little-endian unsigned 32-bit ids.
 
     For a byte-level BPE whose ids follow the order of its merges, tiktoken gives the same ids as the library and is
-    several times as fast; it then encodes the texts without special strings. All else goes to the library."""
+    several times as fast; it then encodes the texts without special strings or very long white space. All else goes
+    to the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,7 +69,7 @@ class TextEncoder:
         """The ids of each text; a null text has none."""
         texts = [t or "" for t in texts]
         out: list = [None] * len(texts)
-        hard = [i for i, t in enumerate(texts) if not self.ranked or any(s in t for s in self.special)]
+        hard = [i for i, t in enumerate(texts) if not self.ranked or any(s in t for s in self.special) or (len(t) >= LONGEST_SPACE and _LONG_SPACE.search(t))]
         if hard:
             found = self.tokenizer.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False)
             for i, e in zip(hard, found, strict=True):

@@ -27,6 +27,12 @@ def test_encoder_gives_the_library_s_ids(library):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_long_white_space_gives_the_library_s_ids(library):
+    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "x " * 60_000 + "\xa0\t" * 600_000, "\x85" * 99_999 + "a" + " " * 99_999, " " * 100_000]
+    for t, got in zip(texts, TextEncoder(PATH).encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_other_tokenizers_use_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     enc = TextEncoder(path)
