@@ -25,3 +25,19 @@ def test_stages_take_effect(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == have and len({r.sequence_id for r in packed}) >= 2
     assert decontaminate and line_quality
+
+
+FOREIGN = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. ",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. ",
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza. ",
+}
+
+
+def test_language_drops_languages_never_learnt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(5)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(300))
+    other = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate([*(t * 10 for t in FOREIGN.values()), noise])], docs.schema)
+    left = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(other), "").collect()}
+    assert left == {r.doc_id for r in docs.select("doc_id").collect()}
