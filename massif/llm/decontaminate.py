@@ -208,9 +208,10 @@ def _search_block(docs: DataFrame, test: TestSet, columns: list[str], text_col:
             cover = np.bincount(places, minlength=width)[:width] - np.bincount(places + need, minlength=width)[:width]
             hit = np.cumsum(cover) > 0
             pairs = np.unique(doc * (len(test.ids) + 1) + item)
-            found: list = [[] for _ in range(n)]
+            hits: list = [set() for _ in range(n)]  # items of one id and several texts count once
             for d, i in zip((pairs // (len(test.ids) + 1)).tolist(), (pairs % (len(test.ids) + 1)).tolist(), strict=True):
-                found[d].append(str(test.ids[i]))
+                hits[d].add(str(test.ids[i]))
+            found = [sorted(h) for h in hits]
             bounds = list(zip(shard.starts.tolist(), shard.lengths.tolist(), strict=True))
             if earlier:
                 for d, (old, more) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):

@@ -57,6 +57,15 @@ def test_clean_documents_stay(spark):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 3 and decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_texts_of_one_id_are_one_item(spark, block):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    bench = spark.createDataFrame([(7, a), (7, b), (8, c)], "item_id long, text string")
+    docs = frame(spark, [(1, f"{b} and {a}"), (2, f"{c} {a} {b}"), (3, "none")])
+    got = {r.doc_id: (r.n_items, list(r.items), r.n_hit) for r in decontaminate.scan(docs, bench, block_bytes=block).collect()}
+    assert got == {1: (1, ["7"], 24), 2: (2, ["7", "8"], 36), 3: (0, [], 0)}
+
+
 def test_longest_match_and_place(spark):
     item = " ".join(f"w{i}" for i in range(20))
     docs = frame(spark, [(1, "a b " + item + " c"), (2, " ".join(f"w{i}" for i in range(5, 18)))])
