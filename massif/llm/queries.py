@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *decontaminate.LONGEST)
 
 
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,9 @@ _OP1 = r"""
 WITH items AS (
   SELECT item_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+placed AS (
+  SELECT item_id, t, least(len(w), 10) AS n, i AS j, list_slice(w, i, i + least(len(w), 10) - 1) AS g
+  FROM (SELECT item_id, w, t, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM (SELECT *, row_number() OVER () AS t FROM items) WHERE len(w) > 0)),
 windows AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, list_slice(w, i, i + least(len(w), 10) - 1) AS g
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
@@ -110,10 +113,16 @@ found AS (SELECT doc_id, item_id, i, windows.n AS n FROM grams JOIN windows ON g
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
 named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id),
+runs AS (
+  SELECT doc_id, item_id, min(i) AS i, min(j) AS j, count(*) + max(n) - 1 AS len
+  FROM (SELECT doc_id, item_id, t, i, j, p.n AS n, i - row_number() OVER (PARTITION BY doc_id, t, i - j ORDER BY i) AS run FROM grams JOIN placed p ON grams.n = p.n AND grams.g = p.g)
+  GROUP BY doc_id, item_id, t, i - j, run),
+longest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, i, CAST(item_id AS VARCHAR), j) AS r FROM runs) WHERE r = 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(m.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id
+  CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(m.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(l.len, 0) AS BIGINT) AS longest_words, CAST(l.i - 1 AS BIGINT) AS longest_start, CAST(l.item_id AS VARCHAR) AS longest_item, CAST(l.j - 1 AS BIGINT) AS longest_item_word
+FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id LEFT JOIN longest l ON d.doc_id = l.doc_id
 """
 
 _OP2 = r"""

@@ -66,14 +66,50 @@ def test_texts_of_one_id_are_one_item(spark, block):
     assert got == {1: (1, ["7"], 24), 2: (2, ["7", "8"], 36), 3: (0, [], 0)}
 
 
-def test_longest_match_and_place(spark):
+def brute_longest(text, items, window=10):
+    """(words, start, item, item word) of the longest match of a window or more, by comparing at every two places."""
+    w, best = brute_words(text), (0, None, None, None)
+    for i, t in items:
+        v = brute_words(t)
+        for b in range(len(v)):
+            for a in range(len(w)):
+                n = 0
+                while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                    n += 1
+                if n >= min(window, len(v)) and n and (best[0] == 0 or (-n, a, str(i), b) < (-best[0], *best[1:])):
+                    best = (n, a, str(i), b)
+    return best
+
+
+def brute_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_longest_matches_of_documents_are_brute_force(spark, block):
+    rng = random.Random(11)
+    items = [(i, " ".join(rng.choice("abcd") for _ in range(n))) for i, n in enumerate([14, 40, 11, 3, 25])] + [(1, "a b c d " * 6), (6, None)]
+    texts = [(k, " ".join(rng.choice("abcdz") for _ in range(rng.randint(0, 120)))) for k in range(40)]
+    texts += [(50, "z " + items[1][1] + " " + items[4][1]), (50, items[0][1]), (None, items[1][1] + " z"), (51, None)]
+    docs = frame(spark, texts).withColumnRenamed("n_chars", "longest_start")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.scan(docs, bench, block_bytes=block).collect()
+    want = sorted(str((i, *brute_longest(t, items))) for i, t in texts)
+    assert sorted(str((r.doc_id, *(r[c] for c in decontaminate.LONGEST))) for r in got) == want
+
+
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_longest_match_and_place(spark, block, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 30)  # several shards
     item = " ".join(f"w{i}" for i in range(20))
-    docs = frame(spark, [(1, "a b " + item + " c"), (2, " ".join(f"w{i}" for i in range(5, 18)))])
-    test = next(decontaminate.benchmark_blocks(spark.createDataFrame([(4, item)], "item_id long, text string"), 10))
+    docs = frame(spark, [(1, "a b " + item + " c"), (2, " ".join(f"w{i}" for i in range(5, 18))), (3, "x " + item), (4, None)]).repartition(3)
+    bench = spark.createDataFrame([(4, item), (5, " ".join(f"v{i}" for i in range(20)))], "item_id long, text string")
     best = {}
-    for r in decontaminate.longest_matches(docs, test).collect():
-        best.setdefault((r.doc_id, r.item_word), (r.start_word, r.n_words))
-    assert best[(1, 0)] == (2, 20) and best[(1, 5)] == (7, 15)
+    for r in decontaminate.longest_matches(docs, bench, block_bytes=block).collect():
+        assert r.item == "4"
+        best.setdefault(r.item_word, set()).add((r.doc_id, r.start_word, r.n_words))
+    assert best == {k: {(1, 2 + k, 20 - k), (3, 1 + k, 20 - k)} if k else {(1, 2, 20), (3, 1, 20)} for k in range(11)}
+    assert decontaminate.longest_matches(docs.limit(0), bench).count() == 0 and decontaminate.longest_matches(docs, bench.limit(0)).count() == 0
 
 
 # Quality rules
