@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massif.llm.tokens import arrow_chunks, encoder
-from massif.plans.shared import shuffle_width
+from massif.plans.shared import shuffle_width, stash
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -81,22 +81,32 @@ def encode_misses(texts: DataFrame, cache: DataFrame, tokenizer_path: str, versi
     return dealt.join(known, "content_digest", "left_anti").mapInArrow(count, CACHE_SCHEMA)
 
 
+def warm(docs: DataFrame, tokenizer_path: str, cache_path: str, *, text_col: str = "text") -> DataFrame:
+    """Append the counts of the texts of `docs` that the cache at `cache_path` lacks, and return them (content_digest,
+    tokenizer_digest, n_tokens). Each call appends to a folder of its own, so a retried or concurrent one never touches
+    another's files; counts that two calls append both are the same."""
+    spark, append = docs.sparkSession, f"{cache_path}/append={uuid.uuid4().hex}"
+    contents = docs.select(content_digest(F.col(f"`{text_col}`")).alias("content_digest"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    encode_misses(contents, read_cache(spark, cache_path), tokenizer_path, tokenizer_version(tokenizer_path)).write.parquet(append)
+    return spark.read.schema(CACHE_SCHEMA).parquet(append)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, text_col: str = "text") -> DataFrame:
-    """`docs` with n_bytes and n_tokens of each whole text, appending what the cache at `cache_path` lacked.
+    """`docs` with n_bytes and n_tokens of each whole text and cached (whether the cache at `cache_path` had the count
+    before), appending what the cache lacked.
 
     Null text counts as empty: 0 bytes, 0 tokens. Repeated rows are all kept and share one count; an empty table gives
-    an empty result. A column of `docs` named like an output or helper column is replaced by it."""
+    an empty result. A column of `docs` named like an output gives way to it; all others are kept, whatever their names."""
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    contents = docs.select(content_digest(F.col(text_col)).alias("content_digest"), text.alias("text"))
-    cache = read_cache(spark, cache_path)
-    new = encode_misses(contents, cache, tokenizer_path, version)
-    # A folder of its own for each append: a retried or concurrent append never touches another one's files.
-    new.write.mode("append").parquet(f"{cache_path}/append={uuid.uuid4().hex}")
-    counts = read_cache(spark, cache_path).filter(F.col("tokenizer_digest") == version)
-    counts = counts.groupBy(F.col("content_digest").alias("_digest")).agg(F.max("n_tokens").alias("_n"))
-    keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "_digest", "_n", "_doc_digest")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in keep], F.octet_length(text).cast("long").alias("n_bytes"), content_digest(F.col(text_col)).alias("_doc_digest"))
-    joined = keyed.join(counts, F.col("_doc_digest") == F.col("_digest"))
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "n_bytes", F.col("_n").alias("n_tokens"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    known = read_cache(spark, cache_path).filter(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens", F.lit(True).alias("cached"))
+    new = warm(docs, tokenizer_path, cache_path, text_col=text_col).select("content_digest", "n_tokens", F.lit(False).alias("cached"))
+    counts = known.union(new).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"), F.max("cached").alias("cached"))
+    # Stored, so that the join reads an exchange of it on either side and can split the rows of one digest over tasks.
+    counts = stash(counts, "token-counts").toDF("d", "n", "c")
+    keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "cached")]
+    names = {c: f"_{i}" for i, c in enumerate(keep)}
+    keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.octet_length(text).cast("long").alias("n_bytes"), content_digest(F.col(f"`{text_col}`")).alias("of"))
+    joined = keyed.join(counts, F.col("of") == F.col("d"))
+    return joined.select(*[F.col(n).alias(c) for c, n in names.items()], "n_bytes", F.col("n").alias("n_tokens"), F.col("c").alias("cached"))

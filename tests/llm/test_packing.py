@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from massif.llm import packing, token_counts
@@ -89,7 +90,25 @@ def test_counts_encode_distinct_misses_once(spark, library, tmp_path):
     cache = str(tmp_path / "cache")
     for _ in range(2):
         got = token_counts.count_tokens(docs, PATH, cache)
-        assert got.columns == ["doc_id", "text", "n_bytes", "n_tokens"] and got.count() == len(DOCS)
+        assert got.columns == ["doc_id", "text", "n_bytes", "n_tokens", "cached"] and got.count() == len(DOCS)
         assert all(r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) and r.n_bytes == len((r.text or "").encode()) for r in got.collect())
         assert token_counts.read_cache(spark, cache).count() == len({t or "" for _, t in DOCS})
     assert token_counts.count_tokens(docs.limit(0), PATH, str(tmp_path / "empty")).count() == 0
+
+
+def test_only_misses_are_encoded_and_names_may_clash(spark, library, tmp_path):
+    rows = [(d, t, f"n{i}", i) for i, (d, t) in enumerate(DOCS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n string, _0 int").withColumn("cached", F.lit("old")).withColumn("d", F.lit("d"))
+    cache = str(tmp_path / "cache")
+    early = docs.filter("doc_id < 130")
+    first = {r.content_digest for r in token_counts.warm(early, PATH, cache).collect()}
+    got = token_counts.count_tokens(docs, PATH, cache)
+    assert got.columns == ["doc_id", "text", "_n", "_0", "d", "n_bytes", "n_tokens", "cached"]
+    seen = {t or "" for d, t in DOCS if d is not None and d < 130}
+    found = got.collect()
+    assert sorted((str(r.doc_id), str(r.text), r._n) for r in found) == sorted((str(d), str(t), n) for d, t, n, _ in rows)
+    assert all(r.cached == ((r.text or "") in seen) and r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) for r in found)
+    every = [r.content_digest for r in token_counts.read_cache(spark, cache).collect()]
+    assert len(every) == len(set(every)) == len({t or "" for _, t in DOCS}) and len(first) == len(seen)  # none was encoded twice
+    other = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), cache)
+    assert not any(r.cached for r in other.collect())  # another tokenizer's counts are no hits
