@@ -53,7 +53,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES).select("page_id", "host", "path", "rule", "verdict")
+    judged = url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.col("n").alias("n_labelled"), F.round("rate", 9).alias("rate"), F.round("lower", 9).alias("lower_bound"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +198,7 @@ h AS (
   SELECT lev.host, coalesce(seen.n, 0) AS n, (coalesce(seen.x, 0) + k * coalesce(d.rate, s.rate, g.m)) / (coalesce(seen.n, 0) + k) AS rate, k
   FROM lev LEFT JOIN seen ON lev.host = seen.host LEFT JOIN d ON lev.domain = d.domain LEFT JOIN s ON lev.suffix = s.suffix, h1, g),
 r AS (
-  SELECT page_id, p.host, path, rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) AS low,
+  SELECT page_id, p.host, path, n, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) AS low,
     CASE WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
       WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7'
       WHEN (p.host = 'com' OR p.host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/'
@@ -205,7 +206,8 @@ r AS (
       WHEN (p.host = 'org' OR p.host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/' END AS rule
   FROM p JOIN h ON p.host = h.host)
 SELECT page_id, host, path, rule, CASE rule WHEN 'com/en/' THEN 'block' WHEN 'example.com/en/7' THEN 'allow' WHEN 'net/de/' THEN 'allow'
-  WHEN 'example.net/de/8' THEN 'block' WHEN 'org/es/' THEN 'block' ELSE CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END END AS verdict
+  WHEN 'example.net/de/8' THEN 'block' WHEN 'org/es/' THEN 'block' ELSE CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END END AS verdict,
+  CAST(n AS BIGINT) AS n_labelled, round(rate, 9) AS rate, round(low, 9) AS lower_bound
 FROM r
 """
 

@@ -75,10 +75,18 @@ def test_bad_hosts_are_blocked_and_evidence_is_shared(spark):
     got = {r.page_id: r for r in url_reputation.judge_urls(pages, labels, {}).collect()}
     assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(600)) and got[1001].verdict == "allow"
     assert got[1000].lower > got[1001].lower
+    assert got[0].n == 100 and got[1000].n == 0 and 0.9 < got[1].rate < 1 and got[1].lower < got[1].rate
     levels = url_reputation.with_levels(spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x",), ("",), ("u@h.example.com:80",)], "host string")).collect()
     assert [(r.domain, r.suffix) for r in levels] == [("b.co.uk", "co.uk"), ("co.uk", "uk"), ("x", "x"), ("", ""), ("example.com", "com")]
 
 
+def test_suffixes_may_be_a_table(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.gov.fr",), ("",)], "host string")
+    table = spark.createDataFrame([("co.uk",), ("gov.fr",), ("co.uk",), (None,)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in url_reputation.with_levels(hosts, table).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "uk"), "x.y.gov.fr": ("y.gov.fr", "gov.fr"), "": ("", "")}
+
+
 # Chat
 
 
