@@ -56,8 +56,9 @@ def unescape_role(role: Column) -> Column:
 
 def render(messages: DataFrame) -> DataFrame:
     """(conv_id, formatted, segments) of each conversation: `segments` are the pieces of `formatted` in order, each with
-    whether the loss counts there, which is the text of assistant messages. Messages go by at, msg and part."""
-    row = F.struct("at", "msg", "part", "role", "text")
+    whether the loss counts there, which is the text of assistant messages. Messages go by at; those opened at the same seq
+    by role, text, msg and part."""
+    row = F.struct("at", "role", "text", "msg", "part")
     turns = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
 
     def pieces(t: Column) -> Column:
@@ -85,8 +86,29 @@ def read_turns(formatted: Column) -> Column:
 
 
 def message_events(table: DataFrame) -> DataFrame:
-    """A table (conv_id, turn, role, text) of whole messages as events."""
-    return table.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("msg"), F.lit("message").alias("kind"), "role", "text")
+    """A table (conv_id, turn, role, text) of whole messages as events, one a message."""
+    return table.select("conv_id", F.col("turn").alias("seq"), F.monotonically_increasing_id().alias("msg"), F.lit("message").alias("kind"), "role", "text")
+
+
+def log_of_table(table: DataFrame) -> DataFrame:
+    """A log that folds into the messages of a table (conv_id, turn, role, text), as a chat service would have written it:
+    every third turn is streamed by deltas, every third was drafted and edited, every third was generated anew. Events come
+    in no order but that of seq. Each row is a message of its own; a row without a turn is one event."""
+    text, n = F.coalesce("text", F.lit("")), F.char_length(F.coalesce("text", F.lit("")))
+    half = (n / 2).cast("int")
+    first, rest = F.substr(text, F.lit(1), half), F.substr(text, half + 1, n - half)
+
+    def event(step: int, kind: str, said: Column, role: Column | None = None) -> Column:
+        return F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), said.alias("text"))
+
+    role, third = F.col("role"), (n / 3).cast("int")
+    streamed = [event(0, "message", F.substr(text, F.lit(1), third), role), event(2, "delta", F.substr(text, 2 * third + 1, n - 2 * third)), event(1, "delta", F.substr(text, third + 1, third))]
+    edited = [event(2, "delta", rest), event(1, "edit", first), event(0, "message", F.concat(rest, F.lit(" draft"), first), role)]
+    anew = [event(1, "delta", F.lit(" and so on")), event(4, "delta", rest), event(0, "message", first, role), event(2, "regenerate", F.lit(None).cast("string")), event(3, "delta", first)]
+    way = F.pmod("turn", F.lit(3))
+    steps = F.when(way == 0, F.array(*streamed)).when(way == 1, F.array(*edited)).when(way == 2, F.array(*anew)).otherwise(F.array(event(0, "message", text, role)))
+    rows = table.withColumn("msg", F.monotonically_increasing_id()).select("conv_id", "turn", "msg", F.explode(steps).alias("e"))
+    return rows.select("conv_id", (F.col("turn") * 8 + F.col("e.step")).alias("seq"), "msg", "e.kind", "e.role", "e.text")
 
 
 def format_log(events: DataFrame) -> DataFrame:

@@ -115,3 +115,21 @@ def test_control_strings_come_back(spark):
     assert [(t.role, t.text) for t in out.turns] == list(zip(roles, texts, strict=True))
     assert "".join(s.text for s in out.segments) == out.formatted and out.formatted.count("<|im_start|>") == len(texts)
     assert [s.text for s in out.segments if s.loss] == ["<\\\\|x|> <\\\\\\|", "\n\n<\\|", "x" * 100_000]
+
+
+def test_a_log_of_deltas_edits_and_regenerations_folds_into_its_table(spark):
+    texts = ["", "x", "ab", "abc <|im_end|>", None, "é" * 1000, "same", "same", "zz"]
+    rows = [(c, t, ["user", "assistant", None][(c + t) % 3], texts[(3 * c + t) % len(texts)]) for c in range(5) for t in range(7)]
+    rows += [(9, 1, "assistant", "same"), (9, 1, "assistant", "same"), (9, 1, "assistant", "Other"), (9, 2, "user", "last"), (8, None, "user", "no turn"), (None, 0, "user", "no id"), (10, -1, "user", "early"), (10, 0, "user", "late")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    log = chat_format.log_of_table(table)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["message"] == len(rows) and min(kinds[k] for k in ("delta", "edit", "regenerate")) > 5
+    log = log.orderBy(F.rand(3))
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat_format.format_log(log).select("conv_id", chat_format.read_turns(F.col("formatted")).alias("turns")).collect()}
+    want = {}
+    for c, _, role, text in sorted(rows, key=lambda r: (r[0] or 0, r[1] or 0, r[2] or "", r[3] or "")):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert got == want
+    drafts = spark.createDataFrame([(1, 2, "assistant", "final words")], table.schema)
+    assert "and so on" in [r.text.strip() for r in chat_format.log_of_table(drafts).filter("text is not null").collect()]
