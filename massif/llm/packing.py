@@ -6,12 +6,13 @@ data; pieces then find their bin by their rank among pieces of equal length."""
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massif.llm.tokens import arrow_chunks, encoder
@@ -32,59 +33,60 @@ class Capacity:
     rule: str = "norm"
 
 
-def plan_bins(histogram: dict[int, int], cap: Capacity) -> list[tuple[int, int, int, int, int]]:
-    """Vector best fit, longest pieces first. Gives (length, first_rank, count, first_bin, offset): the pieces of that
-    length with ranks from first_rank go, one each, to consecutive bins at that offset.
+    def scores(self, residuals: np.ndarray, ask: np.ndarray) -> np.ndarray:
+        """How good each residual is for a piece; the lowest is best."""
+        scale, weights = np.array([self.tokens, self.documents, self.attention], float), np.array(self.weights)
+        left, ask = residuals / scale, ask / scale
+        return (weights * (left - ask) ** 2).sum(axis=1) if self.rule == "norm" else -(weights * left * ask).sum(axis=1)
+
+    def fits(self, residual: tuple[int, int, int], length: int) -> int:
+        """Pieces of a length that a residual holds."""
+        return min(residual[0] // max(length, 1), residual[1], residual[2] // max(length * length, 1))
+
 
-    Bins in the same state are handled together, so steps are bounded by lengths times documents in a bin."""
-    scale = np.array([cap.tokens, cap.documents, cap.attention], float)
-    weights = np.array(cap.weights)
+def plan_bins(histogram: dict[int, int], cap: Capacity) -> list[tuple[int, int, int, int, int]]:
+    """Vector best fit, longest pieces first: each piece goes to the bin of the best score among those that hold it, of
+    equal scores to the least residual; a bin is opened only if none holds it. Gives (length, first_rank, count, first_bin,
+    offset): the pieces of that length with ranks from first_rank go, one each, to consecutive bins at that offset.
+
+    Bins of equal residuals are handled together, so steps follow lengths and residuals, not pieces. Under `norm` a bin
+    that has taken a piece scores better than before, so it takes equal pieces until it is full; under `dot` it scores
+    worse, so all others of its residual come first."""
+    full = (cap.tokens, cap.documents, cap.attention)
     states: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # residual -> runs of bins
     placed, bins = [], 0
     for length in sorted(histogram, reverse=True):
-        ask = np.array([length, 1, length * length])
-        if (ask > scale).any():
+        ask, left, rank = np.array([length, 1, length * length]), histogram[length], 0
+        if not cap.fits(full, length):
             raise ValueError(f"a piece of {length} tokens exceeds a capacity")
-        left, rank = histogram[length], 0
-        keys = list(states)
-        residual = np.array(keys, float).reshape(-1, 3)
-        order: list[int] = []
-        if len(keys):
-            fits = np.flatnonzero((residual >= ask).all(axis=1))
-            r = residual[fits] / scale
-            score = (weights * (r - ask / scale) ** 2).sum(axis=1) if cap.rule == "norm" else -(weights * r * (ask / scale)).sum(axis=1)
-            order = fits[np.argsort(score, kind="stable")].tolist()
-        queue = [keys[i] for i in order]
+        keys = [k for k in states if cap.fits(k, length)]
+        queue = [] if not keys else list(zip(cap.scores(np.array(keys, float), ask).tolist(), keys, strict=True))
+        heapq.heapify(queue)
         while left:
-            # A bin that has just taken a piece of this length competes with those still waiting.
             if queue:
-                key = queue.pop(0)
-            else:
-                count = left
-                per_bin = max(1, min(cap.tokens // max(length, 1), cap.documents, cap.attention // max(length * length, 1)))
-                count = -(-left // per_bin)
-                key = (cap.tokens, cap.documents, cap.attention)
-                states.setdefault(key, []).append((bins, count))
-                bins += count
-            after = (key[0] - length, key[1] - 1, key[2] - length * length)
-            runs = states.pop(key)
-            moved = []
-            while runs and left:
+                key, runs = queue[0][1], states.pop(heapq.heappop(queue)[1])
+                each = cap.fits(key, length) if cap.rule == "norm" else 1
+            else:  # no other bin holds a piece of this length: new ones take as many as they hold
+                key, each = full, cap.fits(full, length)
+                runs = [(bins, -(-left // each))]
+                bins += runs[0][1]
+            rest = []
+            while runs:
                 first, n = runs.pop()
-                take = min(n, left)
-                placed.append((length, rank, take, first, cap.tokens - key[0]))
-                rank, left = rank + take, left - take
-                moved.append((first, take))
-                if take < n:
-                    runs.append((first + take, n - take))
-            if runs:
-                states[key] = runs
-            states.setdefault(after, []).extend(moved)
-            if left and after[0] >= length and after[1] >= 1 and after[2] >= length * length and after not in queue:
-                queue.append(after)
-                got = np.array(queue, float) / scale
-                score = (weights * (got - ask / scale) ** 2).sum(axis=1) if cap.rule == "norm" else -(weights * got * (ask / scale)).sum(axis=1)
-                queue = [queue[i] for i in np.argsort(score, kind="stable")]
+                parts = [(min(n, left // each), each)]
+                parts.append((min(n - parts[0][0], int(0 < left - parts[0][0] * each < each)), left % each))
+                for count, deep in parts:
+                    if count and deep:
+                        placed += [(length, rank + j * count, count, first, cap.tokens - key[0] + j * length) for j in range(deep)]
+                        after = (key[0] - deep * length, key[1] - deep, key[2] - deep * length * length)
+                        if after not in states and cap.rule == "dot" and cap.fits(after, length):
+                            heapq.heappush(queue, (float(cap.scores(np.array([after], float), ask)[0]), after))
+                        states.setdefault(after, []).append((first, count))
+                        rank, left, first, n = rank + count * deep, left - count * deep, first + count, n - count
+                if n:
+                    rest.append((first, n))
+            if rest:
+                states[key] = states.get(key, []) + rest
     return placed
 
 
@@ -128,8 +130,13 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), *, id_col: str = "doc_id
         buckets[length] = -(-n // ROWS_PER_BUCKET)
     n_buckets = F.array(*[F.lit(b) for b in buckets])[F.col("length").cast("int")]
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", F.lit(7)), n_buckets).cast("int"))
-    before = dealt.groupBy(F.col("length").alias("_l"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    sizes = dealt.groupBy(F.col("length").alias("_l"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", (F.col("_b") / 1000).cast("int"))
+
+    def sum_before(n: str, keys: list[str], by: str) -> Column:
+        return F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    groups = sizes.groupBy("_l", "_g").agg(F.sum("_n").alias("_m")).withColumn("_base", sum_before("_m", ["_l"], "_g")).drop("_m")
+    before = sizes.withColumn("_in", sum_before("_n", ["_l", "_g"], "_b")).join(groups, ["_l", "_g"]).select("_l", "_b", (F.col("_base") + F.col("_in")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(id_col, "piece", "ids_crc32"))
     ranked = dealt.withColumn("_rank", within - 1)
     ranked = ranked.join(before, (F.col("length") == F.col("_l")) & (F.col("_bucket") == F.col("_b"))).withColumn("_rank", F.col("_rank") + F.col("_before"))

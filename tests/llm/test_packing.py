@@ -85,6 +85,50 @@ def test_every_capacity_holds(rule):
     assert all(t <= cap.tokens and d <= cap.documents and a <= cap.attention for t, d, a in load.values())
 
 
+def plain_vector_best_fit(lengths, cap):
+    """Residuals of all bins, piece by piece."""
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        ask = np.array([n, 1, n * n])
+        fits = [i for i, b in enumerate(bins) if all(x >= y for x, y in zip(b, ask, strict=True))]
+        if fits:
+            scores = cap.scores(np.array([bins[i] for i in fits], float), ask).tolist()
+            at = min(zip(scores, [bins[i] for i in fits], fits, strict=True))[2]
+        else:
+            bins.append((cap.tokens, cap.documents, cap.attention))
+            at = len(bins) - 1
+        bins[at] = tuple(int(x - y) for x, y in zip(bins[at], ask, strict=True))
+    return sorted(bins)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_are_those_of_a_plain_vector_best_fit(rule, seed):
+    rng = random.Random(seed)
+    caps = [packing.Capacity(tokens=64, rule=rule), packing.Capacity(tokens=64, documents=4, attention=1500, weights=(1.0, 0.5, 2.0), rule=rule), packing.Capacity(tokens=64, documents=2, attention=4096, weights=(1.0, 1.0, 0.3), rule=rule)]
+    for cap in caps:
+        lengths = [min(rng.choice([rng.randint(1, 60), rng.randint(1, 9), 7, 16]), int(cap.attention**0.5)) for _ in range(rng.randint(1, 250))]
+        hist = {n: lengths.count(n) for n in set(lengths)}
+        left, seen = {}, {}
+        for length, rank, count, first, offset in packing.plan_bins(hist, cap):
+            seen.setdefault(length, []).extend(range(rank, rank + count))
+            for b in range(first, first + count):
+                t, d, a = left.get(b, (cap.tokens, cap.documents, cap.attention))
+                assert offset == cap.tokens - t
+                left[b] = (t - length, d - 1, a - length * length)
+        assert all(sorted(v) == list(range(hist[k])) for k, v in seen.items()) and set(seen) == set(hist)
+        assert sorted(left.values()) == plain_vector_best_fit(lengths, cap)
+
+
+def test_many_rows_of_one_length_are_ranked_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_BUCKET", 3)
+    pieces = spark.range(9001).selectExpr("id % 4000 as doc_id", "0 as piece", "cast(if(id % 10 < 8, 1024, id % 7 + 1) as long) as length", "id as ids_crc32")
+    got = packing.pack(pieces).collect()
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert len(got) == 9001 and all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
+    assert len({r.sequence_id for r in got}) == -(-sum(r.length for r in got) // 1024)
+
+
 def test_counts_encode_distinct_misses_once(spark, library, tmp_path):
     docs = spark.createDataFrame([(d, t, 5) for d, t in DOCS], "doc_id long, text string, n_tokens int")
     cache = str(tmp_path / "cache")
