@@ -1,8 +1,9 @@
 """Token ids as packed binary matrices.
 
-Each task tokenises its documents, packs blocks of them by best fit decreasing, with a segment tree over the capacities
-left, and writes a shard for each block; nothing is shuffled. Tasks write under temporary names; only the files of those
-that succeeded are listed in the manifest and moved to their names, so a lost executor leaves nothing behind."""
+Documents are dealt into blocks by a hash of the row, so blocks, and with them sequences, follow from the rows alone and
+not from how they lie in partitions. A block is tokenised, packed by best fit decreasing, with a segment tree over the
+capacities left, and written as a shard. Tasks write under temporary names; only the files of those that succeeded are
+listed in the manifest and moved to their names, so a lost executor leaves nothing behind."""
 
 from __future__ import annotations
 
@@ -13,15 +14,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from massif.llm.tokens import arrow_chunks, encoder
 from massif.llm.warc import MANIFEST, _filesystem, commit
 from massif.plans.shared import fresh_dir, stash
 
-BLOCK_TOKENS = 4 << 20  # tokens at which a block is packed; a longer document makes a longer block
+BLOCK_BYTES = 24 << 20  # text that makes a block, on average: some six million tokens
+MOST_TASKS = 1 << 14  # a task handles several blocks, one after another, where there are more
 KINDS = ("ids", "positions", "lengths", "rows", "segments")
+ENDINGS = {"segments": "parquet", "positions": "npy.zst"}  # positions are nearly all runs: compressed, they take little
 
 
 class CapacityTree:
@@ -98,63 +101,70 @@ def pack_block(pieces: list[bytes], size: int, pad_id: int, id_bytes: int) -> tu
     return {"ids": ids, "positions": positions, "lengths": flat, "rows": np.cumsum([0, *map(len, sums)]).astype("<i8")}, where, offset
 
 
-def write_packed(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, pad_id: int = 0, id_bytes: int = 4, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def write_packed(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, pad_id: int = 0, id_bytes: int = 4, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write whole texts, each its ids and `end_id`, below `path`, and return the manifest.
 
-    A shard has five files: .ids.npy and .positions.npy (sequences by `size`), .lengths.npy (cumulative segment lengths),
-    .rows.npy (each sequence's place in them) and .segments.parquet (id, piece, start, length, row, offset). Only documents
-    longer than `size` are cut, and their pieces joined in order give the ids again. A null text counts as empty, so it is
-    its end id alone; null ids and repeated rows are kept; an empty table gives an empty manifest; columns other than the
-    two are left out. Sequences are packed within blocks of about `block_tokens`."""
-    end, id_type = int(end_id).to_bytes(4, "little"), docs.select(id_col).schema[0].dataType
+    A shard has five files: .ids.npy and .positions.npy.zst (sequences by `size`), .lengths.npy (cumulative segment
+    lengths), .rows.npy (each sequence's place in them) and .segments.parquet (id, piece, start, length, row, offset). Only
+    documents longer than `size` are cut, and their pieces joined in order give the ids again. A null text counts as empty,
+    so it is its end id alone; null ids and repeated rows are kept; an empty table gives an empty manifest; columns other
+    than the two are left out. Sequences are packed within blocks; each leaves one or two that aren't full. Rows equal in
+    id and text share a block; one that they make four times too long is packed in parts, in memory one at a time."""
+    end = int(end_id).to_bytes(4, "little")
+    slim = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
+    total = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    n_blocks = max(1, -(-total // block_bytes))
+    slim = slim.withColumn("digest", F.xxhash64("id", "text"))
+    slim = slim.withColumn("block", F.pmod("digest", F.lit(n_blocks)))
+    tasks = min(n_blocks, MOST_TASKS)
+    dealt = slim.repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int")).sortWithinPartitions("block", "id", "digest").select("block", "id", "text")
 
     def write(batches):
         fs, root = _filesystem(path)
         fs.create_dir(f"{root}/_temporary", recursive=True)
-        enc, task, attempt = encoder(tokenizer_path), TaskContext.get().partitionId(), uuid.uuid4().hex
+        enc, attempt = encoder(tokenizer_path), uuid.uuid4().hex
         pieces: list[bytes] = []
         cells: list[tuple] = []
-        done, held, block = [], 0, 0
+        done, held, block, part_no, kind = [], 0, -1, 0, None
 
         def end_block():
-            nonlocal pieces, cells, held, block
-            name = f"{task:06d}-{block:06d}"
+            nonlocal pieces, cells, held, part_no
+            if not pieces:
+                return
+            name = f"{block:08d}-{part_no:04d}"
             arrays, where, offset = pack_block(pieces, size, pad_id, id_bytes)
             key, piece, start, length = zip(*cells, strict=True)
             table = pa.table({"id": pa.array(key, kind), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "row": pa.array(where, pa.int64()), "offset": pa.array(offset, pa.int64())})
             for what in KINDS:
-                file = f"{name}.{what}.{'parquet' if what == 'segments' else 'npy'}"
-                with fs.open_output_stream(f"{root}/_temporary/{file}.{attempt}", compression=None) as out:
+                file = f"{name}.{what}.{ENDINGS.get(what, 'npy')}"
+                with fs.open_output_stream(f"{root}/_temporary/{file}.{attempt}", compression="zstd" if what == "positions" else None) as out:
                     if what == "segments":
                         pq.write_table(table, out, compression="zstd")
                     else:
                         np.lib.format.write_array(out, arrays[what], allow_pickle=False)
-                    written = out.tell()
-                done.append((task, file, f"{file}.{attempt}", len(arrays["ids"]), written))
-            pieces, cells, held, block = [], [], 0, block + 1
+                done.append((block, file, f"{file}.{attempt}", len(arrays["ids"]), fs.get_file_info(f"{root}/_temporary/{file}.{attempt}").size))
+            pieces, cells, held, part_no = [], [], 0, part_no + 1
 
-        kind = None
         for part in arrow_chunks(batches):
-            kind = part.column(0).type
-            for key, packed in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
+            kind = part.column(1).type
+            for at_block, key, packed in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), enc.encode(part.column(2).to_pylist()), strict=True):
+                if at_block != block:
+                    end_block()
+                    block, part_no = at_block, 0
+                elif held >= block_bytes:  # four times the tokens that its text, on average, has
+                    end_block()
                 packed += end
                 at = cuts(len(packed) // 4, size)
                 for k, (a, b) in enumerate(zip(at, at[1:], strict=False)):
                     pieces.append(packed[4 * a : 4 * b])
                     cells.append((key, k, a, b - a))
                 held += at[-1]
-                if held >= block_tokens:
-                    end_block()
-        if pieces:
-            end_block()
+        end_block()
         types = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
         columns = zip(*done, strict=True) if done else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "file", "temporary", "records", "bytes"])
 
-    if id_type.typeName() not in ("long", "integer", "short", "byte", "string"):
-        raise TypeError(f"ids of type {id_type.simpleString()} are not supported")
-    slim = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
-    return commit(docs.sparkSession, stash(slim.mapInArrow(write, MANIFEST), "packed-manifest"), path)
+    return commit(docs.sparkSession, stash(dealt.mapInArrow(write, MANIFEST), "packed-manifest"), path)
 
 
 def read_packed(spark: SparkSession, path: str, *, id_type: str = "long", keep_ids: bool = False) -> DataFrame:
@@ -164,7 +174,7 @@ def read_packed(spark: SparkSession, path: str, *, id_type: str = "long", keep_i
     schema = f"id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<long>" * keep_ids
 
     def load(fs, root: str, name: str, what: str) -> np.ndarray:
-        with fs.open_input_stream(f"{root}/{name}.{what}.npy", compression=None) as stream:
+        with fs.open_input_stream(f"{root}/{name}.{what}.{ENDINGS.get(what, 'npy')}", compression="zstd" if what == "positions" else None) as stream:
             return np.lib.format.read_array(io.BytesIO(stream.read()), allow_pickle=False)
 
     def read(batches):
@@ -186,8 +196,8 @@ def read_packed(spark: SparkSession, path: str, *, id_type: str = "long", keep_i
                     crc.append(zlib.crc32(got.tobytes()))
                     if keep_ids:
                         kept.append(got.astype("i8"))
-                task, block = map(int, name.split("-"))
-                arrays = [*(table[c].combine_chunks() for c in ("id", "piece", "start", "length")), pa.array(crc, pa.int64()), pa.array(row + (task << 44) + (block << 28), pa.int64()), pa.array(offset, pa.int64())]
+                block, part_no = map(int, name.split("-"))
+                arrays = [*(table[c].combine_chunks() for c in ("id", "piece", "start", "length")), pa.array(crc, pa.int64()), pa.array(row + (block << 40) + (part_no << 28), pa.int64()), pa.array(offset, pa.int64())]
                 if keep_ids:
                     arrays.append(pa.array(kept, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * keep_ids)

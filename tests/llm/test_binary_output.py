@@ -62,7 +62,7 @@ def test_round_trip_keeps_every_id(spark, tmp_path):
     texts = [None, "", "héllo <|endoftext|> wörld", "a b " * 3000] + [" ".join(rng.choice(["alpha", "béta", "x1"]) for _ in range(rng.randint(1, 900))) for _ in range(60)]
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(2, texts[2], "again"), (None, "no id", "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, piece string").repartition(3)
-    manifest = b.write_packed(docs, str(tmp_path / "out"), PATH, block_tokens=9000)
+    manifest = b.write_packed(docs, str(tmp_path / "out"), PATH, block_bytes=30_000)
     assert manifest.count() % 5 == 0 and sorted(r.file for r in manifest.collect()) == sorted(p.name for p in (tmp_path / "out").iterdir() if p.name[0].isdigit())
     got = b.read_packed(spark, str(tmp_path / "out"), keep_ids=True).collect()
     tok = Tokenizer.from_file(PATH)
@@ -89,3 +89,25 @@ def test_an_empty_table_gives_no_segments(spark):
 def test_ids_may_be_text(spark):
     got = b.packed_round_trip(spark.createDataFrame([("k", "one two")], "doc_id string, text string"), PATH).collect()
     assert [(r.id, r.piece, r.offset) for r in got] == [("k", 0, 0)]
+
+
+def test_sequences_follow_from_the_rows_alone(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i if i % 17 else None, " ".join(rng.choice(["alpha", "beta", "x1", "é"]) for _ in range(rng.randint(0, 700)))) for i in range(300)] + [(1000 + i, "copy of one text " * 60) for i in range(150)] + [(7, "same row")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for n in (1, 16):
+        got = b.packed_round_trip(docs.repartition(n, "text"), PATH, block_bytes=120_000).collect()
+        found.append(sorted((str(r.id), r.piece, r.start, r.length, r.ids_crc32, r.sequence_id, r.offset) for r in got))
+    assert found[0] == found[1] and len({r[5] for r in found[0]}) <= -(-sum(r[3] for r in found[0]) // 1024) + 2 * 6
+
+
+def test_equal_rows_that_fill_a_block_are_packed_in_parts(spark):
+    docs = spark.createDataFrame([(1, "word " * 900)] * 60 + [(2, "other")], "doc_id long, text string")
+    got = b.packed_round_trip(docs, PATH, block_bytes=20_000).collect()
+    assert len(got) == 61 and len({r.sequence_id >> 28 for r in got}) > 2 and len({(r.sequence_id, r.offset) for r in got}) == 61
+
+
+def test_ids_may_be_decimals(spark):
+    got = b.packed_round_trip(spark.sql("SELECT CAST(1.50 AS DECIMAL(9, 2)) AS doc_id, 'one' AS text"), PATH).collect()
+    assert [str(r.id) for r in got] == ["1.50"]
