@@ -1,7 +1,7 @@
 """WARC archives, written in deterministic shards and read back.
 
-Records are sorted by key and dealt over ranges of keys that follow from an exact histogram, so the same table gives the
-same files. Each task writes under temporary names; the names of those that succeeded, and no others, are committed."""
+Records are sorted by key, then payload digest, and dealt over ranges of these that follow from an exact histogram, which
+is refined where keys crowd, so the same table gives the same files. Each task writes under temporary names; the names of those that succeeded, and no others, are committed."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ import re
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 from massif.plans.shared import fresh_dir, stash
 
 ROLL_BYTES = 64 << 20  # compressed bytes at which a file ends
-SHARD_BYTES = 32 << 20  # payload bytes that one task writes, about
-CELLS = 4096  # ranges of keys in the histogram
+SHARD_BYTES = 32 << 20  # payload bytes that one task writes, about,
+MOST_SHARDS = 1 << 16  # unless these many shards must hold more each; files are then rolled by their compressed size
+CELLS = 1 << 14  # ranges of keys that one pass of the histogram counts, about
+DIGEST_BITS = 60  # of a digest, that order and split the records of one key
 MANIFEST = "shard int, file string, temporary string, records long, bytes long"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of name-based UUIDs
 
@@ -60,26 +64,76 @@ def record(key: int | None, url: str | None, payload: bytes, refers_to: int | No
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def key_ranges(rows: DataFrame, shard_bytes: int) -> list[int]:
-    """First keys of all shards but the first. Bytes are summed over CELLS equal ranges of keys; neighbouring cells are
-    joined up to `shard_bytes`."""
-    low, high = rows.agg(F.min("key"), F.max("key")).first()
+def _crowded(sizes: DataFrame, cells: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The cells (first key, last key, bytes), disjoint and in order, each split into equal ranges; empty ones go."""
+    parts = max(16, CELLS // len(cells))
+    first, last = np.array([c[0] for c in cells], np.int64), np.array([c[1] for c in cells], np.int64)
+    width = np.array([max(1, -(-(c[1] - c[0] + 1) // parts)) for c in cells], np.uint64)
+
+    def count(batches):
+        total: dict[int, int] = {}  # one entry a range that has rows
+        for batch in batches:
+            key, size = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            cell = np.searchsorted(first, key, side="right") - 1
+            own = (cell >= 0) & (key <= last[cell])
+            key, size, cell = key[own], size[own], cell[own]
+            at = (key.view(np.uint64) - first[cell].view(np.uint64)) // width[cell]
+            which, back = np.unique(cell * parts + at.astype(np.int64), return_inverse=True)
+            for w, n in zip(which.tolist(), np.bincount(back, weights=size).tolist(), strict=True):
+                total[w] = total.get(w, 0) + int(n)
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["part", "bytes"])
+
+    found = sizes.mapInArrow(count, "part long, bytes long").groupBy("part").agg(F.sum("bytes").alias("bytes")).collect()
+    out = []
+    for r in found:
+        cell, at = divmod(r["part"], parts)
+        low = cells[cell][0] + at * int(width[cell])
+        out.append((low, min(low + int(width[cell]) - 1, cells[cell][1]), r["bytes"]))
+    return sorted(out)
+
+
+def key_ranges(rows: DataFrame, shard_bytes: int) -> list[tuple[int, int]]:
+    """(key, digest bits) from which all shards but the first begin. Bytes are summed over ranges of keys; ranges of more
+    than a quarter of a shard are split again, until they are light or a single key, however keys are spread. Neighbours
+    are joined up to `shard_bytes`; a key of more than that is split by its digests. The driver sees a few ranges a shard,
+    of which there are MOST_SHARDS at most."""
+    sizes = stash(rows.filter(F.col("key").isNotNull()).select("key", (F.octet_length("payload") + 500).cast("long").alias("bytes")), "record-sizes")
+    low, high, total = sizes.agg(F.min("key"), F.max("key"), F.sum("bytes")).first()
     if low is None:
         return []
-    width = max(1, -(-(high - low + 1) // CELLS))
-    cells = rows.filter(F.col("key").isNotNull()).groupBy(F.expr(f"(key - {low}L) div {width}L").alias("cell")).agg(F.sum(F.octet_length("payload") + 500).alias("b")).collect()
+    most = max(shard_bytes, total // MOST_SHARDS)
+    light: list[tuple[int, int, int]] = []
+    heavy = [(low, high, total)]
+    while heavy:
+        split = _crowded(sizes, heavy)
+        heavy = [c for c in split if c[2] > most // 4 and c[0] < c[1]]
+        light += [c for c in split if not (c[2] > most // 4 and c[0] < c[1])]
     starts, filled = [], 0
-    for cell, size in sorted((r["cell"], r["b"]) for r in cells):
-        if filled and filled + size > shard_bytes:
-            starts.append(low + cell * width)
+    for first, _, size in sorted(light):
+        if filled and filled + size > most:
+            starts.append((first, 0))
             filled = 0
-        filled += size
+        more = -(-size // most)
+        starts += [(first, (j << DIGEST_BITS) // more) for j in range(1, more)]
+        filled += size if more == 1 else most
     return starts
 
 
-def shard_of(key: Column, starts: list[int]) -> Column:
-    """How many of the starts are not above the key. A null key is in shard 0."""
-    return F.size(F.filter(F.array(*[F.lit(s) for s in starts]).cast("array<long>"), lambda s: F.coalesce(s <= key, F.lit(False))))
+def shard_of(key: Column, digest: Column, starts: list[tuple[int, int]]) -> Column:
+    """How many of the starts are not above the key and its digest, by binary search. A null key is in shard 0."""
+    keys, bits = np.array([k for k, _ in starts], np.int64), np.array([b for _, b in starts], np.int64)
+    split = np.unique(keys[bits > 0])
+
+    @F.pandas_udf("int")
+    def find(key: pd.Series, bits_: pd.Series) -> pd.Series:
+        at = np.searchsorted(keys, key, side="right")
+        for k in np.intersect1d(split, key):
+            a, b = np.searchsorted(keys, k), np.searchsorted(keys, k, side="right")
+            at[key == k] = a + np.searchsorted(bits[a:b], bits_[key == k], side="right")
+        return pd.Series(at.astype(np.int32))
+
+    own = F.conv(F.substr(digest, F.lit(1), F.lit(DIGEST_BITS // 4)), 16, 10).cast("long")
+    return F.when(key.isNull(), 0).otherwise(find(F.coalesce(key, F.lit(0)), own))
 
 
 def revisits(rows: DataFrame, least_bytes: int) -> DataFrame:
@@ -87,6 +141,7 @@ def revisits(rows: DataFrame, least_bytes: int) -> DataFrame:
     largest is the response. Only keys and digests are shuffled, and summed before they are joined."""
     keyed = rows.select("key", "digest", F.octet_length("payload").alias("size")).filter(F.col("size") >= least_bytes)
     largest = keyed.groupBy("digest").agg(F.max("key").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    largest = stash(largest, "responses")  # read by an exchange of its own, so that the rows of one digest can be split
     return keyed.join(largest, "digest").filter(F.col("key") < F.col("refers_to")).select("key", "digest", "refers_to").distinct()
 
 
@@ -106,7 +161,7 @@ def write_warc(pages: DataFrame, path: str, *, key_col: str = "page_id", url_col
     none = F.lit(None)
     marks = revisits(rows, least_bytes).select("key", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "digest", "refers_to", F.lit(0).alias("kind"))
     both = marks.union(rows.select("key", "url", "payload", "digest", none.cast("long").alias("refers_to"), F.lit(1).alias("kind")))
-    both = both.withColumn("shard", shard_of(F.col("key"), starts))
+    both = both.withColumn("shard", shard_of(F.col("key"), F.col("digest"), starts))
     # A shard a task, each in the partition of its number: hashing would put several into one.
     dealt = both.repartitionById(len(starts) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "digest", "kind", "url").select("shard", "key", "url", "payload", "digest", "refers_to", "kind")
 

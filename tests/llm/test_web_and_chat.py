@@ -43,6 +43,29 @@ def test_files_are_deterministic_rolled_and_sorted(spark, tmp_path):
     assert out[0] == out[1] and len(out[0]) > 5
 
 
+def test_shards_stay_even_however_keys_are_spread(spark):
+    rows = spark.range(6000).selectExpr("id AS key", "rpad('', 300, 'x') AS payload")
+    sizes = {}
+    for name, keys in {"dense": "id", "outlier": "if(id = 7, 4611686018427387904, id)", "ends": "if(id = 7, 9223372036854775807, if(id = 8, -9223372036854775808, id))", "hashed": "xxhash64(id)", "hot": "if(id % 3 = 0, 77, id)"}.items():
+        table = rows.selectExpr(f"{keys.replace('id', 'key')} AS key", "payload").withColumn("digest", F.sha1(F.rand(1).cast("string")))
+        table = spark.createDataFrame(table.toPandas())
+        starts = warc.key_ranges(table, 100_000)
+        counts = [r["count"] for r in table.withColumn("shard", warc.shard_of(F.col("key"), F.col("digest"), starts)).groupBy("shard").count().collect()]
+        assert starts == sorted(starts) and sum(counts) == 6000
+        sizes[name] = (len(starts), max(counts) * 800)
+    assert all(40 <= n <= 80 and most <= 150_000 for n, most in sizes.values()), sizes
+    assert warc.key_ranges(rows.selectExpr("CAST(NULL AS LONG) AS key", "payload"), 1000) == []
+
+
+def test_a_hot_key_is_split_by_digest(spark, tmp_path):
+    rows = [(5 if i % 2 else i, f"http://h/{i}", f"text {i % 150} " * 40) for i in range(400)]
+    path = archive(spark, tmp_path, "hot", rows, shard_bytes=20_000)
+    got = warc.read_warc(spark, path).collect()
+    assert len(got) == 400 and len({p.name.split("-")[0] for p in (tmp_path / "hot").glob("*.warc.gz")}) > 8
+    responses = {r.payload_digest for r in got if r.record_type == "response"}
+    assert len(responses) == sum(r.record_type == "response" for r in got) == 150
+
+
 def test_least_bytes_empty_and_damage(spark, tmp_path):
     got = warc.read_warc(spark, archive(spark, tmp_path, "d", least_bytes=10)).collect()
     assert {r.record_type for r in got} == {"response"}
