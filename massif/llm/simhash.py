@@ -112,18 +112,28 @@ def near_links(fps: DataFrame, *, radius: int = 3, blocks: int = 4) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp, len(keep)).view(np.int64))], ["key", "fp"])
 
     def link(batches):
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last group, which may go on in the next batch
+
+        def joined():
+            k, f = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return as_batch(_links(k, f, radius))
+
         for batch in batches:
-            k = np.concatenate([held_k, batch.column(0).to_numpy(zero_copy_only=False)])
-            f = np.concatenate([held_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+            k, f = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             if not len(k):
                 continue
-            last = np.searchsorted(k, k[-1])  # the last group may go on in the next batch
-            held_k, held_f = k[last:], f[last:]
-            if last:
-                yield as_batch(_links(k[:last], f[:last], radius))
-        if len(held_k):
-            yield as_batch(_links(held_k, held_f, radius))
+            first, last = (np.searchsorted(k, held[-1][0][-1], "right") if held else 0), np.searchsorted(k, k[-1])
+            if first:
+                held.append((k[:first], f[:first]))
+            if first < len(k):
+                if held:
+                    yield joined()
+                if first < last:
+                    yield as_batch(_links(k[first:last], f[first:last], radius))
+                held.append((k[last:], f[last:]))
+        if held:
+            yield joined()
 
     def as_batch(found):
         found = found.view(np.int64)
@@ -148,22 +158,41 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = nodes.select("node", "component").join(named, "component").select("node", "component_id")
     known = distinct.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "first").alias("component_id"))
+    known = stash(known, "components")  # read by an exchange of its own, so that the rows of one fingerprint can be split
     return prints.join(known, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates, **how) -> DataFrame:
+FEW_ROWS = 1 << 20  # of three longs at most: such a side is broadcast, whatever Spark expects of its size
+
+
+def few(rows: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """A stored table, to be broadcast if it has no more than `most` rows; else joins of it are merged."""
+    return F.broadcast(rows) if rows.count() <= most else rows.hint("merge")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates, few_rows: int = FEW_ROWS, **how) -> DataFrame:
     """`docs` with one row of each component: that of the smallest id, and one only where ids or rows repeat. `near` finds
-    the components."""
+    the components.
+
+    Who stays is settled on ids and digests; texts are read again and only lose the rows that go. Up to `few_rows` of
+    these (their number is counted) reach the readers by broadcast and no text is shuffled, beyond that by a merge join.
+    Only rows that repeat are numbered. A null id is an id of its own, the first of all; an empty table gives an empty
+    result; columns may have any names."""
     found = near(docs, id_col=id_col, text_col=text_col, **how)
     empty = F.lit("" if dict(docs.dtypes)[id_col] == "string" else 0).cast(docs.schema[id_col].dataType)
 
     def keys(digest: Column) -> list[Column]:
-        return [F.col(id_col).isNull().alias("_none"), F.coalesce(F.col(id_col), empty).alias("_id"), digest.alias("_digest")]
+        return [F.col(f"`{id_col}`").isNull().alias("_none"), F.coalesce(F.col(f"`{id_col}`"), empty).alias("_id"), digest.alias("_digest")]
 
-    component = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    kept = found.groupBy(component.alias("_c")).agg(F.min(F.struct(*keys(F.col("digest")))).alias("_r")).select("_r.*")
-    # The join and the numbering of repeated rows share one exchange of the texts.
     names = ["_none", "_id", "_digest"]
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys(F.xxhash64(text_col))).join(kept, names, "left_semi")
+    component = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
+    rows = found.select(component.alias("_c"), F.struct(*keys(F.col("digest"))).alias("_r"))
+    rows = stash(rows.groupBy("_c", "_r").agg(F.count(F.lit(1)).alias("_n")), "component-rows")
+    first = stash(rows.groupBy("_c").agg(F.min("_r").alias("_first")), "first-rows")
+    marked = rows.join(first, "_c").filter((F.col("_r") != F.col("_first")) | (F.col("_n") > 1))
+    marked = stash(marked.select("_r.*", (F.col("_r") == F.col("_first")).alias("_stays")), "marked-rows")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys(F.xxhash64(text_col)))
+    alone = keyed.join(few(marked.select(*names), few_rows), names, "left_anti").select("_row.*")
+    again = stash(marked.filter("_stays").select(*names), "repeated-rows")
     one = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
-    return left.withColumn("_n", one).filter("_n = 1").select("_row.*")
+    return alone.union(keyed.join(few(again, few_rows), names, "left_semi").withColumn("_n", one).filter("_n = 1").select("_row.*"))

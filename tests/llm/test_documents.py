@@ -239,6 +239,8 @@ def test_one_of_each_group_stays(spark):
     docs = frame(spark, [(5, a), (3, a), (3, a), (9, a + "  "), (7, "other text of some words"), (8, None), (2, ""), (None, "lonely words"), (None, "lonely words")])
     left = simhash.deduplicate(docs)
     assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "3", "7", "None"] and left.columns == docs.columns
+    merged = simhash.deduplicate(docs, few_rows=0)  # both ways leave the same rows
+    assert sorted(map(str, merged.collect())) == sorted(map(str, left.collect()))
     found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert {(5, 3), (9, 3), (8, 2), (7, 7), (None, None)} <= found
     assert simhash.deduplicate(docs.limit(0)).count() == 0
