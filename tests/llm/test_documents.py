@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from massif.llm import decontaminate, language_id, line_quality, simhash
@@ -147,6 +148,24 @@ def test_common_lines_go_and_depleted_documents_fail(spark):
     assert clean.columns == docs.withColumnRenamed("kept", "lang").columns and line_quality.judge(docs.limit(0)).count() == 0
 
 
+def test_copies_count_as_documents_on_request(spark):
+    boiler, own = "a line that only copies of one text have", " ".join(f"w{k}" for k in range(60))
+    docs = frame(spark, [(i, f"{boiler}\n{own}") for i in range(25)] + [(100 + i, " ".join(f"t{i}w{k}" for k in range(60))) for i in range(30)])
+    for count_copies, few in ((False, 0), (True, 0), (True, 1 << 18)):
+        got = {r.doc_id: r for r in line_quality.judge(docs, count_copies=count_copies, few_texts=few).collect()}
+        assert all(got[i].n_removed_words == (69 if count_copies else 0) and got[i].kept != count_copies for i in range(25))
+        assert all(got[100 + i].kept for i in range(30))
+
+
+def test_names_may_clash_and_hosts_be_missing(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    docs = frame(spark, [(1, words), (1, words), (2, None)]).withColumns({c: F.lit(c) for c in ("_f", "_host", "_content", "_0", "_h", "_row", "c0", "removed_lines")})
+    got = line_quality.judge(docs)
+    assert got.columns[:12] == [c for c in docs.columns if c != "removed_lines"] and sorted((r.doc_id, r._f, r._0, r.kept) for r in got.collect()) == [(1, "_f", "_0", True)] * 2 + [(2, "_f", "_0", False)]
+    left = line_quality.clean(docs.drop("source"))
+    assert left.columns == docs.drop("source").columns and sorted((r.doc_id, r.text, r._row, r.removed_lines) for r in left.collect()) == [(1, words, "_row", "removed_lines")] * 2
+
+
 def test_null_host(spark):
     docs = spark.createDataFrame([(1, "a " * 60, None), (1, "a b", None)], "doc_id long, text string, source string")
     assert line_quality.judge(docs).count() == 2
