@@ -95,7 +95,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = TOP, fit_docs: int = FIT_DOCS) -> Profiles:
     """Profiles of the languages of `docs`, from about `fit_docs` documents of each, chosen by a hash of their ids.
 
-    Rows with null text or language teach nothing."""
+    More than MAX_LANGUAGES are an error. Rows with null text or language teach nothing, nor do rows labelled `und`, which is the answer for texts without letters
+    and therefore no language. Equal ids are chosen together; an empty table gives no profiles."""
     train = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(lang_col) != "und"))
     sizes = {r[0]: r[1] for r in train.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:

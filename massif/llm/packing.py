@@ -156,6 +156,7 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), *, id_col: str = "doc_id
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, cap: Capacity = Capacity(), *, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack whole documents: one row a piece."""
+    """Tokenise, cut and pack whole documents: one row a piece. Null texts count as empty; repeated rows have places of their
+    own; an empty table gives an empty result; columns other than id and text are left out."""
     pieces = cut_pieces(docs, tokenizer_path, end_id=end_id, size=cap.tokens, keep_ids=keep_ids)
     return pack(stash(pieces, "pieces"), cap)

@@ -145,8 +145,8 @@ def near_links(fps: DataFrame, *, radius: int = 3, blocks: int = 4) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, blocks: int = 4, words: int = 3) -> DataFrame:
-    """(id, digest, fp, component_id) of each row: component_id is the smallest id reachable over links of `radius`
-    differing bits or fewer.
+    """(id, digest, fp, component, component_id) of each row: components are joined by links of `radius` differing bits or
+    fewer; component_id is the smallest id in one, component tells them apart even where ids repeat.
 
     Null texts and texts without words have fingerprint zero and are linked like any other. Rows with a null id take
     part; a component of such rows alone has a null component_id. Repeated rows are all kept; an empty table gives an
@@ -156,8 +156,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = stash(near_links(distinct, radius=radius, blocks=blocks), "links")
     nodes = connected_components(links).join(distinct, F.col("node") == F.col("fp"))
     named = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = nodes.select("node", "component").join(named, "component").select("node", "component_id")
-    known = distinct.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "first").alias("component_id"))
+    linked = nodes.select("node", "component").join(named, "component").select("node", "component", "component_id")
+    known = distinct.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
     known = stash(known, "components")  # read by an exchange of its own, so that the rows of one fingerprint can be split
     return prints.join(known, F.col("fp") == F.col("_fp")).drop("_fp")
 
@@ -185,8 +185,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return [F.col(f"`{id_col}`").isNull().alias("_none"), F.coalesce(F.col(f"`{id_col}`"), empty).alias("_id"), digest.alias("_digest")]
 
     names = ["_none", "_id", "_digest"]
-    component = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    rows = found.select(component.alias("_c"), F.struct(*keys(F.col("digest"))).alias("_r"))
+    rows = found.select(F.col("component").alias("_c"), F.struct(*keys(F.col("digest"))).alias("_r"))
     rows = stash(rows.groupBy("_c", "_r").agg(F.count(F.lit(1)).alias("_n")), "component-rows")
     first = stash(rows.groupBy("_c").agg(F.min("_r").alias("_first")), "first-rows")
     marked = rows.join(first, "_c").filter((F.col("_r") != F.col("_first")) | (F.col("_n") > 1))

@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,6 +196,57 @@ def test_held_out_documents_are_told(spark):
     assert {r.lang_pred for r in language_id.identify(docs, empty, keep=["doc_id"]).collect()} == {"und"}
 
 
+def brute_grams(text, top):
+    """The most frequent n-grams in order, ties by their characters."""
+    counts = {}
+    plain = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())
+    for word in plain.split(" "):
+        padded = f" {word} "
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                g = padded[i : i + n]
+                if word and g != " ":
+                    counts[g] = counts.get(g, 0) + 1
+    return counts
+
+
+def brute_ranked(counts, top):
+    def code(g):  # shorter n-grams first
+        return [0] * (3 - len(g)) + list(map(ord, g))
+
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:top]
+
+
+def brute_predict(text, profiles, top):
+    grams = brute_ranked(brute_grams(text, top), top)
+    if not any(unicodedata.category(c)[0] == "L" for c in (text or "").lower()) or not profiles:
+        return "und", 0.0
+    off = {lang: sum(abs(p.index(g) - i) if g in p else top for i, g in enumerate(grams)) for lang, p in profiles.items()}
+    best = min(sorted(off), key=lambda x: off[x])
+    return best, 1 - off[best] / (top * len(grams))
+
+
+def test_distances_are_brute_force(spark):
+    rng = random.Random(12)
+    top = 60
+    rows = [(i, " ".join(rng.choices(LANGS[lang].split(), k=rng.randint(3, 25))) + rng.choice(["", " 12!", " \n É-x", " a\u0301"]), lang, "s", 0) for i, lang in enumerate(["en", "de", "fr"] * 25)]
+    rows += [(200, "und und", "und", "s", 0), (201, "ab", "aa", "s", 0), (202, "ab", "bb", "s", 0)]  # aa and bb tie
+    docs = spark.createDataFrame(rows, SCHEMA)
+    counts = {}
+    for _, text, lang, _, _ in rows:
+        if lang != "und":
+            for g, n in brute_grams(text, top).items():
+                counts.setdefault(lang, {})[g] = counts.setdefault(lang, {}).get(g, 0) + n
+    profiles = {lang: brute_ranked(c, top) for lang, c in counts.items()}
+    learnt = language_id.learn(docs, top=top)
+    assert learnt.languages == sorted(profiles) and "und" not in learnt.languages
+    more = [(300, None), (301, "ab"), (302, "9 9"), (303, "the le der"), (304, "zz qq " * 50), (305, "\u0301")]
+    asked = [(r[0], r[1]) for r in rows] + more
+    got = {r.doc_id: (r.lang_pred, round(r.score, 12)) for r in language_id.identify(frame(spark, asked).drop("lang"), learnt).collect()}
+    want = {i: (lang, round(score, 12)) for i, t in asked for lang, score in [brute_predict(t, profiles, top)]}
+    assert got == want and got[301][0] == "aa"
+
+
 def test_long_texts_are_counted_in_stretches():
     text = "ab cd " * 400_000
     codes, counts = language_id.ngrams(text)
