@@ -8,25 +8,22 @@ from pyspark.sql import functions as F
 from massif.plans.shared import stash
 
 
-def connected_components(edges: DataFrame, *, u: str = "u", v: str = "v", max_rounds: int = 64) -> DataFrame:
-    """(node, component) for every node of `edges`; the component is its smallest node.
+def connected_components(edges: DataFrame, *, u: str = "u", v: str = "v") -> DataFrame:
+    """(node, component) for every node of `edges`; the component is its smallest node. Nodes are of any type that has an
+    order, structs included.
 
     Each round hooks trees onto smaller neighbouring trees and halves the depth of every tree, so rounds grow with the
-    logarithm of the longest chain. A round is stored in the shared folder before the next. Edges may repeat, point
-    either way or be loops; an edge with a null end is dropped."""
+    logarithm of the longest chain. A round is stored in the shared folder before the next; the last is one in which no
+    node moved. Edges may repeat, point either way or be loops; an edge with a null end is dropped."""
     edges = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).dropna()
     both = stash(edges.union(edges.select("v", "u")).distinct(), "edges")
-    parents = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("f")).select("node", F.least("node", "f").alias("f"))
-    parents, total = stash(parents, "parents"), None
-    for _ in range(max_rounds):
-        found = parents.agg(F.sum(F.col("f").cast("decimal(38,0)"))).first()[0]
-        if found == total:
-            return parents.select("node", F.col("f").alias("component"))
-        total = found
+    parents = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("f")).select("node", F.least("node", "f").alias("f"), F.lit(True).alias("moved"))
+    parents = stash(parents, "parents")
+    while not parents.filter("moved").isEmpty():
         up = parents.select(F.col("node").alias("p"), F.col("f").alias("gf"))
         grand = parents.join(up, F.col("f") == F.col("p")).select("node", "f", "gf")
         near = both.join(grand.select(F.col("node").alias("v"), "gf"), "v").groupBy("u").agg(F.min("gf").alias("m"))
-        hooks = near.join(parents, F.col("u") == F.col("node")).select(F.explode(F.array(F.struct("node", F.col("m").alias("f")), F.struct(F.col("f").alias("node"), F.col("m").alias("f")))).alias("h")).select("h.*")
-        lowered = grand.select("node", F.least("f", "gf").alias("f")).union(hooks)
-        parents = stash(lowered.groupBy("node").agg(F.min("f").alias("f")), "parents")
-    raise RuntimeError("components did not settle")
+        hooks = near.join(parents, F.col("u") == F.col("node")).select(F.explode(F.array(F.struct("node", F.col("m").alias("f")), F.struct(F.col("f").alias("node"), F.col("m").alias("f")))).alias("h")).select("h.*", F.lit(None).alias("was"))
+        lowered = grand.select("node", F.least("f", "gf").alias("f"), F.col("f").alias("was")).union(hooks)
+        parents = stash(lowered.groupBy("node").agg(F.min("f").alias("f"), F.max("was").alias("was")).select("node", "f", (F.col("f") < F.col("was")).alias("moved")), "parents")
+    return parents.select("node", F.col("f").alias("component"))

@@ -68,15 +68,18 @@ def inconsistent_edges(triangles: DataFrame) -> DataFrame:
     return half_edges(triangles).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def corner(vid: Column, other: Column) -> Column:
+    """A vertex as seen from another, for graphs around each vertex."""
+    return F.struct(vid.alias("vid"), other.alias("other"))
+
+
 def fans(triangles: DataFrame) -> DataFrame:
     """(vid, fans): how many edge-connected fans the triangles at each vertex make; more than one is not manifold.
-    They are the components of the edges opposite to the vertex; ids below 2**31."""
+    They are the components of the edges opposite to the vertex."""
     he = half_edges(triangles)
     opposite = he.select(F.when(F.col("u") == F.col("a"), F.col("c")).when(F.col("u") == F.col("b"), F.col("a")).otherwise(F.col("b")).alias("vid"), "u", "v")
-    code = F.col("vid") * F.lit(1 << 31)
-    links = opposite.select((code + F.col("u")).alias("u"), (code + F.col("v")).alias("v"))
-    found = connected_components(links)
-    return found.groupBy(F.floor(F.col("node") / (1 << 31)).cast("long").alias("vid")).agg(F.countDistinct("component").alias("fans"))
+    found = connected_components(opposite.select(corner(F.col("vid"), F.col("u")).alias("u"), corner(F.col("vid"), F.col("v")).alias("v")))
+    return found.groupBy("node.vid").agg(F.countDistinct("component").alias("fans"))
 
 
 def degrees(triangles: DataFrame) -> DataFrame:

@@ -12,8 +12,6 @@ from massif.operators import mesh
 from massif.operators.components import connected_components
 from massif.plans.shared import stash
 
-SHIFT = 1 << 31  # two vertex ids below 2**31 make one long
-
 
 def clip_triangles(placed: DataFrame, planes: list[tuple[float, float, float, float]]) -> DataFrame:
     """(a, b, c, polygon): what half-spaces leave of each placed triangle (ax..cz); those with nothing left go. Triangles
@@ -33,19 +31,21 @@ def clip_triangles(placed: DataFrame, planes: list[tuple[float, float, float, fl
 
 
 def boundary_loops(triangles: DataFrame) -> DataFrame:
-    """(loop, k, u, v): boundary half-edges in order; a loop is named by its smallest half-edge (u * 2**31 + v), which comes
-    first.
+    """(loop, k, u, v): boundary half-edges in order; a loop is named by its smallest half-edge, a struct of u and v, which
+    comes first.
 
     At a vertex that several fans share, a loop goes on in the fan it came by, so every half-edge has one successor.
     Triangles must be consistently oriented and edges have two triangles at most. Places are found by pointer doubling:
     rounds grow with the logarithm of the longest loop, and each is stored."""
+    def edge(u: str, v: str) -> Column:
+        return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+
     rim = mesh.boundary_edges(triangles).distinct()
     he = mesh.half_edges(triangles)
     third = F.col("a") + F.col("b") + F.col("c") - F.col("u") - F.col("v")
-    links = he.select((F.col("v") * SHIFT + third).alias("u"), (F.col("v") * SHIFT + F.col("u")).alias("v"))
-    fan = stash(connected_components(links), "fans")
-    came = rim.select(F.col("u"), F.col("v"), (F.col("v") * SHIFT + F.col("u")).alias("node")).join(fan, "node").select((F.col("u") * SHIFT + F.col("v")).alias("edge"), "component")
-    goes = rim.select((F.col("u") * SHIFT + F.col("v")).alias("node")).join(fan, "node").select(F.col("node").alias("next"), "component")
+    fan = stash(connected_components(he.select(mesh.corner(F.col("v"), third).alias("u"), mesh.corner(F.col("v"), F.col("u")).alias("v"))), "fans")
+    came = rim.select(edge("u", "v").alias("edge"), mesh.corner(F.col("v"), F.col("u")).alias("node")).join(fan, "node").select("edge", "component")
+    goes = rim.select(edge("u", "v").alias("next"), mesh.corner(F.col("u"), F.col("v")).alias("node")).join(fan, "node").select("next", "component")
     ring = stash(came.join(goes, "component").select("edge", "next"), "successors")
     loops = connected_components(ring, u="edge", v="next").withColumnsRenamed({"node": "edge", "component": "loop"})
     jump = ring.join(loops, "edge").select("edge", "loop", F.when(F.col("next") != F.col("loop"), F.col("next")).alias("to"), F.when(F.col("next") != F.col("loop"), 1).otherwise(0).cast("long").alias("left"))
@@ -54,7 +54,7 @@ def boundary_loops(triangles: DataFrame) -> DataFrame:
         ahead = jump.select(F.col("edge").alias("to"), F.col("to").alias("then"), F.col("left").alias("more"))
         jump = stash(jump.join(ahead, "to", "left").select("edge", "loop", F.col("then").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "loop-jumps")
     size = jump.groupBy("loop").agg((F.max("left")).alias("last"))
-    return jump.join(size, "loop").select("loop", (F.col("last") - F.col("left")).alias("k"), F.floor(F.col("edge") / SHIFT).cast("long").alias("u"), (F.col("edge") % SHIFT).alias("v"))
+    return jump.join(size, "loop").select("loop", (F.col("last") - F.col("left")).alias("k"), "edge.u", "edge.v")
 
 
 def breadth_first(triangles: DataFrame, sources: DataFrame) -> DataFrame:

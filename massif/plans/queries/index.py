@@ -35,11 +35,11 @@ def _(spark, sf):
     return index.closure(mixed(spark, sf))
 
 
-@query("index_add", f"WITH {MIXED}, {fx.sql_closure('mixed', 'ix', 5)} SELECT * FROM ix WHERE level <= 4")
+@query("index_add", f"WITH {MIXED}, {fx.sql_closure('mixed', 'ix', 5)} SELECT * FROM ix")
 def _(spark, sf):
     leaf = fx.leaves(spark, sf)
     up = leaf.select(F.lit(3).cast("long").alias("level"), F.shiftright("index", 6).alias("index")).filter("index % 2 = 0").distinct()
-    return index.add(index.closure(leaf), up).filter("level <= 4")
+    return index.add(index.closure(leaf), up)
 
 
 @query("index_after_remove", f"WITH {fx.PT}, {fx.LEAF}, kept AS (SELECT * FROM leaf WHERE index % 3 <> 0), {fx.sql_closure('kept', 'ix', 5)} SELECT * FROM ix")
@@ -63,21 +63,24 @@ def _(spark, sf):
     return index.inner_nodes(index.closure(mixed(spark, sf))).select("level", "index")
 
 
-@query("traverse_bfs", f"{CLOSED} SELECT level, index, row_number() OVER (ORDER BY level, index) AS place FROM ix WHERE level <= 4")
+@query("traverse_bfs", f"{CLOSED} SELECT level, index, row_number() OVER (ORDER BY level, index) AS place FROM ix")
 def _(spark, sf):
     # Numbered within a level, then levels one after another: no task orders all nodes of a deep tree.
-    ix = closed(spark, sf).filter("level <= 4")
+    ix = closed(spark, sf)
     base = ix.groupBy("level").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("level")) - F.col("n"))
     n = ix.withColumn("r", F.row_number().over(Window.partitionBy("level").orderBy("index")))
     return n.join(base, "level").select("level", "index", (F.col("base") + F.col("r")).alias("place"))
 
 
 @query("traverse_dfs_preorder", f"""{CLOSED}, o AS (SELECT level, index, index << CAST(3 * (5 - level) AS BIGINT) AS k FROM ix)
-SELECT level, index, row_number() OVER (PARTITION BY k >> 12 ORDER BY k, level) AS place FROM o WHERE level >= 1""")
+SELECT level, index, row_number() OVER (ORDER BY k, level) AS place FROM o""")
 def _(spark, sf):
-    ix = closed(spark, sf).filter("level >= 1")
-    top = octree.up(F.col("index"), F.col("level") - 1)
-    return ix.select("level", "index", F.row_number().over(Window.partitionBy(top).orderBy(*index.depth_first())).cast("long").alias("place"))
+    # Numbered within each branch below level 1, then branches one after another behind the nodes above them.
+    ix = closed(spark, sf).withColumn("top", F.when(F.col("level") >= 2, octree.up(F.col("index"), F.col("level") - 2)))
+    ix = ix.withColumn("top", F.coalesce("top", octree.down(F.col("index"), 2 - F.col("level"))))
+    n = ix.withColumn("r", F.row_number().over(Window.partitionBy("top").orderBy(*index.depth_first())))
+    base = ix.groupBy("top").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("top")) - F.col("n"))  # one row a branch
+    return n.join(base, "top").select("level", "index", (F.col("base") + F.col("r")).alias("place"))
 
 
 @query("traverse_refine_pruned", f"""{CLOSED}, stop AS (SELECT level, index FROM ix WHERE level >= 2 AND index % 3 = 1)

@@ -71,7 +71,9 @@ def _(spark, sf):
     return mesh.inconsistent_edges(extra(spark, sf))
 
 
-@query("vertex_fans")
+@query("vertex_fans", f"""{M.replace('WITH', 'WITH RECURSIVE', 1)}, op AS (SELECT a AS vid, b AS u, c AS v FROM tri UNION ALL SELECT b, c, a FROM tri UNION ALL SELECT c, a, b FROM tri),
+two AS (SELECT vid, u, v FROM op UNION SELECT vid, v, u FROM op), r AS (SELECT vid, u AS n, u AS m FROM two UNION SELECT r.vid, r.n, two.v FROM r JOIN two ON r.vid = two.vid AND r.m = two.u)
+SELECT vid, count(DISTINCT c) AS fans FROM (SELECT vid, n, min(m) AS c FROM r GROUP BY vid, n) GROUP BY vid""")
 def _(spark, sf):
     return mesh.fans(tri(spark, sf))
 
@@ -106,7 +108,9 @@ def _(spark, sf):
     return connected_components(links)
 
 
-@query("mesh_components")
+@query("mesh_components", f"""{V.replace('WITH', 'WITH RECURSIVE', 1)}, {fx.HALF_EDGES}, e AS (SELECT u, v FROM he UNION SELECT v, u FROM he), {_REACH},
+c AS (SELECT vert.vid AS vid, coalesce(x.c, vert.vid) AS root FROM vert LEFT JOIN (SELECT n, min(m) AS c FROM r GROUP BY n) x ON vert.vid = x.n)
+SELECT vid, CAST(dense_rank() OVER (ORDER BY root) - 1 AS BIGINT) AS component FROM c""")
 def _(spark, sf):
     return mesh.components(fx.vertices(spark, sf), tri(spark, sf))
 

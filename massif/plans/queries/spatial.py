@@ -32,10 +32,10 @@ def _(spark, sf):
 _GRID = ", ".join(f"floor({a} * 8) AS {a}" for a in "xyz")
 
 
-@query("exact_position_join", f"WITH {fx.PT}, g AS (SELECT id, {_GRID} FROM pt) SELECT a.id AS id, b.id AS r_id FROM g a JOIN g b ON a.x = b.x AND a.y = b.y AND a.z = b.z WHERE a.id % 3 = 0 AND b.id % 3 = 1")
+@query("exact_position_join", f"WITH {fx.PT}, g AS (SELECT id, {_GRID} FROM pt) SELECT a.id AS id, b.id AS r_id FROM g a JOIN g b ON a.x = b.x AND a.y = b.y AND a.z = b.z WHERE a.id % 2 = 0 AND b.id % 2 = 1")
 def _(spark, sf):
     g = fx.points(spark, sf).select("id", *[F.floor(F.col(a) * 8).alias(a) for a in "xyz"])
-    return spatial.exact_join(g.filter("id % 3 = 0"), g.filter("id % 3 = 1")).select("id", "r_id")
+    return spatial.exact_join(g.filter("id % 2 = 0"), g.filter("id % 2 = 1")).select("id", "r_id")
 
 
 _N = "sqrt(x * x + y * y + z * z)"

@@ -47,7 +47,8 @@ def _(spark, sf):
 
 @query("mesh_boundary_loops")
 def _(spark, sf):
-    return surface.boundary_loops(tri(spark, sf))
+    found = surface.boundary_loops(tri(spark, sf))
+    return found.select(F.col("loop.u").alias("loop_u"), F.col("loop.v").alias("loop_v"), "k", "u", "v")
 
 
 _NEAR = "nb AS (SELECT u, v FROM he UNION SELECT v, u FROM he), s AS (SELECT min(u) AS vid FROM nb)"
