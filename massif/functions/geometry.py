@@ -90,3 +90,103 @@ def segment_distance(p: Column, a: Column, b: Column) -> Column:
     size = dot(sub(b, a), sub(b, a))
     t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(sub(p, a), sub(b, a)) / size))).otherwise(F.lit(0.0))
     return let(sub(p, along(a, b, t)), lambda d: F.sqrt(dot(d, d)))
+
+
+def cross(p: Column, q: Column) -> Column:
+    return point(p["y"] * q["z"] - p["z"] * q["y"], p["z"] * q["x"] - p["x"] * q["z"], p["x"] * q["y"] - p["y"] * q["x"])
+
+
+def unit(p: Column) -> Column:
+    return let(F.sqrt(dot(p, p)), lambda n: point(*[p[c] / n for c in "xyz"]))
+
+
+def triangle_distance(p: Column, a: Column, b: Column, c: Column) -> Column:
+    """Distance of a point to a triangle: to its plane if the foot is inside, else to the nearest edge."""
+    n = cross(sub(b, a), sub(c, a))
+    size = dot(n, n)
+    edge = F.least(segment_distance(p, a, b), segment_distance(p, b, c), segment_distance(p, c, a))
+    inside = F.lit(True)
+    for u, v in ((a, b), (b, c), (c, a)):
+        inside = inside & (dot(cross(sub(v, u), sub(p, u)), n) >= 0)
+    return F.when((size > 0) & inside, F.abs(dot(sub(p, a), n)) / F.sqrt(size)).otherwise(edge)
+
+
+def separates(a: Column, b: Column, others: list[Column], third: Column) -> Column:
+    """Whether the line through an edge a, b of a triangle in the plane has its third corner on one side and all other
+    points on the other, or on the line."""
+    side = F.signum(orient_2d(a, b, third))
+    out = F.lit(True)
+    for o in others:
+        out = out & (orient_2d(a, b, o) * side <= 0)
+    return out
+
+
+def triangles_overlap(t: list[Column], s: list[Column]) -> Column:
+    """Whether two triangles of the plane share area: no edge of either separates them."""
+    apart = F.lit(False)
+    for own, other in ((t, s), (s, t)):
+        for i in range(3):
+            apart = apart | separates(own[i], own[(i + 1) % 3], other, own[(i + 2) % 3])
+    return ~apart
+
+
+def normalised(p: Column, lo: Column, hi: Column) -> Column:
+    """A point relative to the centre of bounds, over half their largest side."""
+    half = F.greatest(*[hi[c] - lo[c] for c in "xyz"]) / 2
+    return point(*[((p[c] - (lo[c] + hi[c]) / 2) / half).cast("float") for c in "xyz"])
+
+
+def plane_frame(a: Column, b: Column, c: Column) -> Column:
+    """Frame (origin, u, v, n) of a triangle: u along its first edge, n its normal."""
+    n = unit(cross(sub(b, a), sub(c, a)))
+    u = unit(sub(b, a))
+    return let(n, lambda n: let(u, lambda u: F.struct(a.alias("origin"), u.alias("u"), cross(n, u).alias("v"), n.alias("n"))))
+
+
+def project(frame: Column, p: Column) -> Column:
+    """Coordinates (x, y, z) of a point in a frame: z is its distance to the plane."""
+    d = sub(p, frame["origin"])
+    return point(dot(d, frame["u"]), dot(d, frame["v"]), dot(d, frame["n"]))
+
+
+def unproject(frame: Column, q: Column) -> Column:
+    """The point of coordinates in a frame."""
+    return point(*[frame["origin"][c] + q["x"] * frame["u"][c] + q["y"] * frame["v"][c] + q["z"] * frame["n"][c] for c in "xyz"])
+
+
+# Fixed point: coordinates in steps of 2**-16 as longs, products as 38-digit decimals, so signs are exact.
+
+FIXED_BITS = 16
+
+
+def to_fixed(x: Column) -> Column:
+    return F.round(x * float(1 << FIXED_BITS)).cast("long")
+
+
+def from_fixed(q: Column) -> Column:
+    return q / float(1 << FIXED_BITS)
+
+
+def fixed_orient(a: Column, b: Column, p: Column) -> Column:
+    """1, 0 or -1 by the side of p of the line a, b, exactly (structs of x and y in fixed point, below 2**40 each)."""
+    def wide(v: Column) -> Column:
+        return v.cast("decimal(19,0)")
+
+    det = wide(b["x"] - a["x"]) * wide(p["y"] - a["y"]) - wide(b["y"] - a["y"]) * wide(p["x"] - a["x"])
+    return F.signum(det).cast("int")
+
+
+def fixed_on_segment(a: Column, b: Column, p: Column) -> Column:
+    box = p["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & p["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+    return (fixed_orient(a, b, p) == 0) & box
+
+
+def fixed_segments_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether two segments share a point, ends included."""
+    crossing = (fixed_orient(a, b, c) * fixed_orient(a, b, d) < 0) & (fixed_orient(c, d, a) * fixed_orient(c, d, b) < 0)
+    return crossing | fixed_on_segment(a, b, c) | fixed_on_segment(a, b, d) | fixed_on_segment(c, d, a) | fixed_on_segment(c, d, b)
+
+
+def fixed_lerp(a: Column, b: Column, t: Column) -> Column:
+    """The fixed value a share t (in fixed point) of the way from a to b."""
+    return a + F.shiftright((b - a) * t, FIXED_BITS)

@@ -272,3 +272,26 @@ def in_ranges(index: Column, ranges: list[tuple[int, int]]) -> Column:
     for a, b in ranges:
         found = found | index.between(a, b)
     return found
+
+
+def shifted_bounds_with_children(space: Space, level: Column, index: Column) -> list[Column]:
+    """Bounds of a shifted cell and of its first and last child, which may lie half a cell beyond it."""
+    own = shifted_bounds(space, level, index)
+    first, last = (shifted_bounds(space, level + 1, child(index, F.lit(i))) for i in (0, 7))
+    return [F.least(a, b) for a, b in zip(own[:3], first[:3], strict=True)] + [F.greatest(a, b) for a, b in zip(own[3:], last[3:], strict=True)]
+
+
+def shifted_box_cover(space: Space, level: Column, low: list[Column], high: list[Column]) -> Column:
+    """box_cover() on the shifted grid, for boxes inside the space."""
+    margin = cell_size(space, level) / 1024
+
+    def at(p: Column) -> Column:
+        q = (p - space.low) / cell_size(space, level) + F.when(_odd(level), 0.5).otherwise(0.0)
+        return F.least(long(F.floor(q)), cells_on(level) - 1)
+
+    low, high = [p + margin for p in low], [p - margin for p in high]
+    some = F.lit(True)
+    for a, b in zip(low, high, strict=True):
+        some = some & (a <= b)
+    spans = [(at(a), at(b)) for a, b in zip(low, high, strict=True)]
+    return F.when(contains(space, *low) & contains(space, *high) & some, _spans(level, spans)).otherwise(F.array().cast("array<long>"))

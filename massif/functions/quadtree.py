@@ -69,3 +69,13 @@ def nested_path(*parts: Column) -> Column:
 def parse_nested(path: Column, n: int) -> list[Column]:
     good = path.rlike("^[0-9]+" + "/[0-9]+" * (n - 1) + "$")
     return [F.when(good, F.split(path, "/")[i].try_cast("long")) for i in range(n)]
+
+
+def smallest_tile(lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column, deepest: int = 24) -> Column:
+    """The deepest tile (zoom, x, y) that holds both corners of Web Mercator bounds."""
+    def place(z: Column) -> Column:
+        low, high = tile_of(z, lo_x, lo_y), tile_of(z, hi_x, hi_y)
+        return F.struct(z.alias("zoom"), low[0].alias("x"), low[1].alias("y"), ((low[0] == high[0]) & (low[1] == high[1])).alias("whole"))
+
+    found = F.filter(F.transform(F.sequence(F.lit(0), F.lit(deepest)), place), lambda t: t["whole"])
+    return F.array_max(F.transform(found, lambda t: F.struct(t["zoom"].cast("long").alias("zoom"), t["x"].alias("x"), t["y"].alias("y"))))

@@ -41,3 +41,96 @@ def intersect_ranges(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Overlap of two half-open ranges, null if there is none."""
     lo, hi = F.greatest(a0, b0), F.least(a1, b1)
     return F.when(lo < hi, F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
+# Ranges are structs (lo, hi), lo inside and hi outside; a null end is open.
+
+
+def span(lo: Column | None, hi: Column | None) -> Column:
+    none = F.lit(None).cast("long")
+    return F.struct((none if lo is None else lo).cast("long").alias("lo"), (none if hi is None else hi).cast("long").alias("hi"))
+
+
+def inclusive(lo: Column | None, last: Column) -> Column:
+    """A range whose last value is inside; one that ends at the largest long is open."""
+    return span(lo, F.try_add(last, F.lit(1).cast("long")))
+
+
+def in_span(r: Column, v: Column) -> Column:
+    return F.coalesce(v >= r["lo"], F.lit(True)) & F.coalesce(v < r["hi"], F.lit(True))
+
+
+def span_is_empty(r: Column) -> Column:
+    return F.coalesce(r["lo"] >= r["hi"], F.lit(False))
+
+
+def span_intersection(a: Column, b: Column) -> Column:
+    """greatest and least pass over nulls, so an open end gives way to the other."""
+    return span(F.greatest(a["lo"], b["lo"]), F.least(a["hi"], b["hi"]))
+
+
+def spans_overlap(a: Column, b: Column) -> Column:
+    return ~span_is_empty(a) & ~span_is_empty(b) & ~span_is_empty(span_intersection(a, b))
+
+
+def floor_div(a: Column, b: int) -> Column:
+    return F.try_divide(a - F.pmod(a, F.lit(b)), F.lit(b)).cast("long")
+
+
+def ceil_div(a: Column, b: int) -> Column:
+    return -floor_div(-a, b)
+
+
+def integer_power(base: int, n: Column) -> Column:
+    """base to the n, exact, null beyond a long."""
+    return F.aggregate(F.array_repeat(F.lit(base).cast("long"), n.cast("int")), F.lit(1).cast("long"), lambda s, x: F.try_multiply(s, x))
+
+
+LONGS = (-(1 << 63), (1 << 63) - 1)
+
+
+def saturating_add(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_add(a, b), F.when(a < 0, F.lit(LONGS[0])).otherwise(F.lit(LONGS[1])))
+
+
+def saturating_subtract(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_subtract(a, b), F.when(a < 0, F.lit(LONGS[0])).otherwise(F.lit(LONGS[1])))
+
+
+def bit_length(n: Column) -> Column:
+    """Bits of a positive long, by its binary digits: no logarithm, so no rounding."""
+    return F.when(n > 0, F.length(F.bin(n))).otherwise(0)
+
+
+def previous_power_of_two(n: Column) -> Column:
+    return F.when(n >= 1, F.call_function("shiftleft", F.lit(1).cast("long"), bit_length(n) - 1))
+
+
+def nearest_power_of_two(n: Column) -> Column:
+    """The nearer of the two, the higher of equals."""
+    low = previous_power_of_two(n)
+    return F.when(n - low < 2 * low - n, low).otherwise(F.when(n == low, low).otherwise(2 * low))
+
+
+def align_down(n: Column, to: int) -> Column:
+    return n - F.pmod(n, F.lit(to))
+
+
+def next_higher(x: Column) -> Column:
+    """The next representable double."""
+    return F.java_method(F.lit("java.lang.Math"), F.lit("nextUp"), x).cast("double")
+
+
+def next_lower(x: Column) -> Column:
+    return F.java_method(F.lit("java.lang.Math"), F.lit("nextDown"), x).cast("double")
+
+
+def content_digest(*cells: Column) -> Column:
+    """256-bit digest of content: each cell with its length, so that no two rows of cells run together."""
+    parts = [F.concat(F.coalesce(F.length(c.cast("string")), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(c.cast("string"), F.lit(""))) for c in cells]
+    return F.sha2(F.concat(*parts), 256)
+
+
+def combine_digests(*digests: Column) -> Column:
+    """One digest of several, in order."""
+    return F.sha2(F.concat(*digests), 256)

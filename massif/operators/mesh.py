@@ -206,3 +206,114 @@ def remap(triangles: DataFrame, mapping: DataFrame, old: str = "vid", new: str =
     for k in "abc":
         out = out.join(mapping.select(F.col(old).alias(k), F.col(new).alias(f"_{k}")), k)
     return not_degenerate(out.select(*[F.col(f"_{k}").alias(k) for k in "abc"]))
+
+
+def edge_triangles(triangles: DataFrame) -> DataFrame:
+    """(u, v, triangles): each undirected edge with the sorted triangles (tid) at it; more than two where it isn't
+    manifold. `triangles` is (tid, a, b, c)."""
+    e = F.explode(F.array(*[F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))])).alias("e")
+    return triangles.select("tid", e).groupBy("e.u", "e.v").agg(F.sort_array(F.collect_set("tid")).alias("triangles"))
+
+
+def soup(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(p, n): the triangles as arrays of positions, turned so that the least corner comes first, with how often each
+    occurs: equal for meshes that differ in numbering and order alone."""
+    t = placed(triangles, vertices)
+    corner = [F.struct(*[F.col(f"{k}{p}").alias(p) for p in "xyz"]) for k in "abc"]
+    return t.groupBy(oriented(*corner).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def same_shape(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Rows of the soups of two meshes (triangles, vertices) that the other lacks: none if the meshes are equal."""
+    a, b = soup(*left), soup(*right)
+    return a.exceptAll(b).withColumn("side", F.lit("left")).union(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def deduplicated_by_normal(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(a, b, c): of the triangles on the same three vertices the one whose normal agrees best with the mean normal of all
+    triangles at these vertices; of equals the first by vertex order, turned so that its least vertex comes first."""
+    n = normal()
+    t = placed(triangles.select("a", "b", "c"), vertices).select(oriented(F.col("a"), F.col("b"), F.col("c")).alias("t"), *[c.alias(f"n{p}") for c, p in zip(n, "xyz", strict=True)]).distinct()
+    around = t.select(F.explode("t").alias("vid"), "nx", "ny", "nz").groupBy("vid").agg(*[F.sum(f"n{p}").alias(f"m{p}") for p in "xyz"])
+    crowd = t.groupBy(F.sort_array("t").alias("set")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    doubled = t.withColumn("set", F.sort_array("t")).join(crowd, "set")
+    near = doubled.withColumn("vid", F.explode("t")).join(around, "vid").groupBy("set", "t", "nx", "ny", "nz").agg(*[F.sum(f"m{p}").alias(f"m{p}") for p in "xyz"])
+    agrees = sum((F.col(f"n{p}") * F.col(f"m{p}") for p in "xyz"), F.lit(0.0))
+    best = near.groupBy("set").agg(F.min(F.struct((-F.round(agrees, 9)).alias("d"), F.col("t"))).alias("b")).select("b.t")
+    single = t.join(crowd, F.sort_array("t") == F.col("set"), "left_anti").select("t")
+    return _spread(single.union(best), "t")
+
+
+def first_use(triangles: DataFrame) -> DataFrame:
+    """(vid, new): dense ids of used vertices in the order in which the triangle list (tid, a, b, c) names them first.
+    Ranks are made per block of places and set one after another."""
+    place = F.explode(F.array(*[F.struct((F.col("tid") * 3 + k).alias("at"), F.col(c).alias("vid")) for k, c in enumerate("abc")])).alias("p")
+    first = triangles.select(place).groupBy("p.vid").agg(F.min("p.at").alias("at")).withColumn("blk", F.floor(F.col("at") / 4096))
+    within = first.withColumn("r", F.row_number().over(Window.partitionBy("blk").orderBy("at")))
+    before = first.groupBy("blk").agg(F.count(F.lit(1)).alias("n")).select("blk", (F.sum("n").over(Window.orderBy("blk")) - F.col("n")).alias("base"))  # one row a block
+    return within.join(before, "blk").select("vid", (F.col("base") + F.col("r") - 1).alias("new"))
+
+
+def compact(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A mesh (vertices; triangles with tid) without isolated vertices, ids in order of first use."""
+    ids = first_use(triangles)
+    v = vertices.join(ids, "vid").select(F.col("new").alias("vid"), *[c for c in vertices.columns if c != "vid"])
+    t = triangles
+    for k in "abc":
+        t = t.join(ids.select(F.col("vid").alias(k), F.col("new").alias(f"_{k}")), k).drop(k).withColumnRenamed(f"_{k}", k)
+    return v, t.select("tid", "a", "b", "c")
+
+
+def split_by_vertex(triangles: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, a, b, c): triangles whose three vertices are of one group (vid, group); others belong to none."""
+    t = triangles.select("a", "b", "c")
+    for k in "abc":
+        t = t.join(groups.select(F.col("vid").alias(k), F.col("group").alias(f"_{k}")), k)
+    return t.filter("_a = _b and _b = _c").select(F.col("_a").alias("group"), "a", "b", "c")
+
+
+def split_by_triangle(triangles: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each group of triangles (group, a, b, c) as a mesh of its own: (group, vid, ...) holds a vertex once for each group
+    that uses it."""
+    use = triangles.select("group", F.explode(F.array("a", "b", "c")).alias("vid")).distinct()
+    return use.join(vertices, "vid").select("group", *vertices.columns), triangles.select("group", "a", "b", "c")
+
+
+def set_operation(left: DataFrame, right: DataFrame, *, keep: bool) -> DataFrame:
+    """Triangles of `left` that `right` has too, on the same vertices (keep), or lacks."""
+    def form(t: DataFrame) -> DataFrame:
+        return t.withColumn("_t", unoriented(F.col("a"), F.col("b"), F.col("c")))
+
+    return form(left).join(form(right).select("_t"), "_t", "left_semi" if keep else "left_anti").drop("_t")
+
+
+def component_topology(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """(component, v, e, f, loops, chi, genus, shape) of each connected part of a consistently oriented manifold mesh; a
+    component is named by its smallest vertex. Genus is that of the surface with its loops filled; shape is disk, annulus,
+    sphere or torus where it is one. Loops are components of boundary half-edges, as in a manifold mesh each boundary
+    vertex is in one loop."""
+    found = connected_components(edges(triangles)).select(F.col("node").alias("vid"), "component")
+    comp = vertices.select("vid").join(found, "vid", "left").select("vid", F.coalesce("component", "vid").alias("component"))
+    rim = boundary_edges(triangles)
+    loops = connected_components(rim).filter("node = component").select(F.col("node").alias("vid"))
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        zero = {c: F.lit(1 if c == name else 0).alias(c) for c in ("v", "e", "f", "loops")}
+        return rows.join(comp, "vid").select("component", *zero.values())
+
+    every = counted(vertices.select("vid"), "v").union(counted(edges(triangles).select(F.col("u").alias("vid")), "e"))
+    every = every.union(counted(triangles.select(F.col("a").alias("vid")), "f")).union(counted(loops, "loops"))
+    out = every.groupBy("component").agg(*[F.sum(c).alias(c) for c in ("v", "e", "f", "loops")]).withColumn("chi", F.col("v") - F.col("e") + F.col("f"))
+    out = out.withColumn("genus", (2 - F.col("loops") - F.col("chi")) / 2)
+    closed, n = F.col("loops") == 0, F.col("genus")
+    shape = F.when(closed & (n == 0), "sphere").when(closed & (n == 1), "torus").when((F.col("loops") == 1) & (n == 0), "disk").when((F.col("loops") == 2) & (n == 0), "annulus")
+    return out.withColumn("shape", shape)
+
+
+def holes(loops: DataFrame) -> DataFrame:
+    """(component, loop, k, vid): the boundary loops of each component, but its longest, as polygons that would close them,
+    so in the other direction; of equally long ones the first by name is the outline. `loops` is (component, loop, k, u)."""
+    size = loops.groupBy("component", "loop").agg(F.count(F.lit(1)).alias("n"))
+    outline = size.groupBy("component").agg(F.min(F.struct((-F.col("n")).alias("n"), "loop")).alias("b")).select("component", F.col("b.loop").alias("loop"))
+    inner = loops.join(outline, ["component", "loop"], "left_anti").join(size, ["component", "loop"])
+    return inner.select("component", "loop", (F.col("n") - 1 - F.col("k")).alias("k"), F.col("u").alias("vid"))
