@@ -261,3 +261,129 @@ def srs_window(df: DataFrame, low: tuple[float, float], high: tuple[float, float
     corners = [((x - g[0]) * g[5] - (y - g[3]) * g[2], (y - g[3]) * g[1] - (x - g[0]) * g[4]) for x in (low[0], high[0]) for y in (low[1], high[1])]
     xs, ys = [c[0] / det for c in corners], [c[1] / det for c in corners]
     return window(df, math.floor(min(xs)), math.floor(min(ys)), math.ceil(max(xs)), math.ceil(max(ys)))
+
+
+def clamped_window(df: DataFrame, x0: int, y0: int, x1: int, y1: int, width: int, height: int) -> DataFrame:
+    """window() with both corners first clamped to the last pixel: as the high corner is outside, the last row and column
+    are reached by window() alone."""
+    x0, x1 = (min(max(v, 0), width - 1) for v in (x0, x1))
+    y0, y1 = (min(max(v, 0), height - 1) for v in (y0, y1))
+    return window(df, x0, y0, x1, y1)
+
+
+def describe(df: DataFrame, valid: str = "valid", value: str = "v") -> DataFrame:
+    """One row: bounds in pixels, bounds of the valid values, pixels, valid pixels."""
+    v = F.when(F.col(valid), F.col(value))
+    return df.agg(
+        *[f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in AT], F.min(v).alias("lo_v"), F.max(v).alias("hi_v"),
+        F.count(F.lit(1)).alias("pixels"), F.count_if(F.col(valid)).alias("valid_pixels"),
+    )
+
+
+def all_valid(*masks: Column) -> Column:
+    """Validity of a pixel of several bands: where every band's mask is set; a null mask sets all."""
+    return F.least(*[F.coalesce(m.cast("int"), F.lit(255)) for m in masks]) > 0
+
+
+def not_known_empty(targets: DataFrame, sources: DataFrame, margin: float) -> DataFrame:
+    """Targets (lo_x, lo_y, hi_x, hi_y) that a source tile of the same columns, side at most one unit, may reach when they are
+    widened by a share of their size: others need no warping. Both sides are dealt into cells of one unit."""
+    def cells(lo: Column, hi: Column) -> Column:
+        return F.explode(F.sequence(F.floor(lo).cast("long"), F.floor(hi).cast("long")))
+
+    names = targets.columns
+    t = targets
+    for a in "xy":
+        by = (F.col(f"hi_{a}") - F.col(f"lo_{a}")) * margin
+        t = t.withColumns({f"_lo_{a}": F.col(f"lo_{a}") - by, f"_hi_{a}": F.col(f"hi_{a}") + by})
+    t = t.withColumn("_cx", cells(F.col("_lo_x"), F.col("_hi_x"))).withColumn("_cy", cells(F.col("_lo_y"), F.col("_hi_y")))
+    s = sources.select(*[F.col(f"{p}_{a}").alias(f"_s{p}_{a}") for p in ("lo", "hi") for a in "xy"])
+    s = s.withColumn("_cx", cells(F.col("_slo_x"), F.col("_shi_x"))).withColumn("_cy", cells(F.col("_slo_y"), F.col("_shi_y")))
+    meets = F.lit(True)
+    for a in "xy":
+        meets = meets & (F.col(f"_slo_{a}") <= F.col(f"_hi_{a}")) & (F.col(f"_shi_{a}") >= F.col(f"_lo_{a}"))
+    return t.join(s, ["_cx", "_cy"]).filter(meets).select(*names).distinct()
+
+
+def warp(source: DataFrame, target: DataFrame, sx: Column, sy: Column, value: str = "v", valid: str = "valid") -> DataFrame:
+    """(px, py, value, valid) of `target` pixels (px, py, ...), sampled from `source` at the source place (sx, sy, in pixels
+    whose centres are at one half) of each: bilinear over the valid ones of four neighbours; a pixel is valid if any has a
+    weight, else its value is zero. Every output pixel asks for four source pixels by their keys; nothing is collected."""
+    fx, fy = F.floor(F.col("_sx") - 0.5), F.floor(F.col("_sy") - 0.5)
+    t = target.withColumns({"_sx": sx, "_sy": sy}).withColumns({"_fx": fx, "_fy": fy}).withColumns({"_wx": F.col("_sx") - 0.5 - F.col("_fx"), "_wy": F.col("_sy") - 0.5 - F.col("_fy")})
+    taps = F.array(*[
+        F.struct((F.col("_fx") + i).cast("long").alias("x"), (F.col("_fy") + j).cast("long").alias("y"), ((F.col("_wx") if i else 1 - F.col("_wx")) * (F.col("_wy") if j else 1 - F.col("_wy"))).alias("w"))
+        for i in (0, 1) for j in (0, 1)
+    ])
+    asked = t.select("px", "py", F.explode(taps).alias("t")).select("px", "py", "t.x", "t.y", "t.w")
+    s = source.filter(valid).select(F.col("px").alias("x"), F.col("py").alias("y"), F.col(value).cast("double").alias("_v"))
+    met = asked.join(s, ["x", "y"], "left").groupBy("px", "py").agg(F.sum(F.when(F.col("_v").isNotNull(), F.col("w"))).alias("_w"), F.sum(F.col("_v") * F.col("w")).alias("_s"))
+    good = F.coalesce(F.col("_w") > 0, F.lit(False))
+    return met.select("px", "py", F.when(good, F.col("_s") / F.col("_w")).otherwise(0.0).alias(value), good.alias(valid))
+
+
+def native_pixel_size(boxes: DataFrame, place: Callable[[Column, Column], tuple[Column, Column]], step: float = 1e-3, samples: int = 5) -> DataFrame:
+    """(id, size): the least size, in map units, of a source pixel within bounds (id, lo_x, lo_y, hi_x, hi_y): at a grid of
+    samples, one over the summed changes of the source place (`place` of x and y) with x and y."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(samples * samples - 1))).alias("k")
+    at = boxes.select("*", k).withColumns({
+        "_x": F.col("lo_x") + (F.col("hi_x") - F.col("lo_x")) * ((F.col("k") % samples) / (samples - 1)), "_y": F.col("lo_y") + (F.col("hi_y") - F.col("lo_y")) * (F.floor(F.col("k") / samples) / (samples - 1)),
+    })
+    x, y = F.col("_x"), F.col("_y")
+    here, right, above = place(x, y), place(x + step, y), place(x, y + step)
+    change = sum((F.abs(p - q) for other in (right, above) for p, q in zip(other, here, strict=True)), F.lit(0.0)) / step
+    return at.groupBy("id").agg(F.min(1 / change).alias("size"))
+
+
+def lanczos_node_kernel(a: int) -> list[float]:
+    """4a - 1 weights of a halving of grid nodes, whose retained nodes are samples themselves: a half-band filter."""
+    w = [lanczos(k / 2, a) for k in range(1 - 2 * a, 2 * a)]
+    return [x / sum(w) for x in w]
+
+
+def lanczos_nodes_down(df: DataFrame, a: int, width: int, height: int, value: str = "v") -> DataFrame:
+    """(n + 1) / 2 grid nodes from n on each axis."""
+    taps = [(k - (2 * a - 1), w) for k, w in enumerate(lanczos_node_kernel(a))]
+    return strided(separable(df.select("px", "py", F.col(value).cast("double").alias(value)), taps, width, height, value), 2)
+
+
+def source_window(low: int, size: int, levels: int, taps: int, whole: int) -> tuple[int, int]:
+    """First and last-but-one source pixel that `size` pixels from `low`, after `levels` halvings, depend on: each level
+    reaches 2 * taps - 1 further, and a window begins at a multiple of two to the number of levels."""
+    a, b = low << levels, (low + size) << levels
+    reach, unit = halo(taps, levels), 1 << levels
+    return max(0, (a - reach) // unit * unit), min(whole, -(-(b + reach) // unit) * unit)
+
+
+def lanczos_window(df: DataFrame, a: int, levels: int, low: tuple[int, int], size: tuple[int, int], width: int, height: int, value: str = "v") -> DataFrame:
+    """A window of the pixels that lanczos_down() gives after some levels, from the source pixels it depends on: their
+    bounds reach the scan."""
+    (x0, x1), (y0, y1) = (source_window(low[k], size[k], levels, a, (width, height)[k]) for k in (0, 1))
+    part = window(df, x0, y0, x1, y1).select((F.col("px") - x0).alias("px"), (F.col("py") - y0).alias("py"), value)
+    w, h = x1 - x0, y1 - y0
+    require_divisible(w, h, levels)
+    for _ in range(levels):
+        part, w, h = lanczos_down(part, a, w, h, value), w // 2, h // 2
+    part = part.select((F.col("px") + (x0 >> levels)).alias("px"), (F.col("py") + (y0 >> levels)).alias("py"), value)
+    return window(part, low[0], low[1], low[0] + size[0], low[1] + size[1])
+
+
+def window_function(df: DataFrame, side: int, f: Callable[[Column], Column], width: int, height: int, value: str = "v") -> DataFrame:
+    """(px, py, value): f of the row-major array of each complete window of side by side pixels, named by its first one."""
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in range(side) for i in range(side)])).alias("s")
+    sent = df.select("px", "py", value, steps).select((F.col("px") - F.col("s.i")).alias("px"), (F.col("py") - F.col("s.j")).alias("py"), F.struct(F.col("s.j").alias("j"), F.col("s.i").alias("i"), F.col(value).alias("v")).alias("c"))
+    inside = sent.filter(F.col("px").between(0, width - side) & F.col("py").between(0, height - side))
+    cells = inside.groupBy("px", "py").agg(F.sort_array(F.collect_list("c")).alias("c")).filter(F.size("c") == side * side)
+    return cells.select("px", "py", f(F.transform("c", lambda c: c["v"])).alias(value))
+
+
+def converted(reduce: Callable[[Column], Column], decode: Callable[[Column], Column], encode: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A reducer that works on decoded samples."""
+    return lambda v: encode(reduce(decode(v)))
+
+
+def pixel_type(sample: str, bands: int = 1) -> str:
+    """The name of a pixel type: of a sample, or of a vector of them."""
+    if sample not in ("uint8", "int8", "uint16", "int16", "uint32", "int32", "uint64", "int64", "float32", "float64") or not 1 <= bands <= 4:
+        raise ValueError(f"no pixel type of {bands} {sample}")
+    return sample if bands == 1 else f"vec{bands}<{sample}>"

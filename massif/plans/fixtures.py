@@ -123,3 +123,26 @@ VERTS = "vert AS (SELECT CAST(py * 32 + px AS BIGINT) AS vid, CAST(px AS DOUBLE)
 def vertices(spark: SparkSession, sf: str) -> DataFrame:
     p = pixels(spark, sf).filter("valid")
     return p.select((F.col("py") * 32 + F.col("px")).alias("vid"), *[F.col(a).cast("double").alias(b) for a, b in (("px", "x"), ("py", "y"), ("v", "z"))])
+
+
+# Fixtures that grow with the tables: a point for each line item, and a raster of 256 columns with a pixel for each order.
+
+
+def grown_points(spark: SparkSession, sf: str) -> DataFrame:
+    o, n, p, q = (F.col(c).cast("long") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    at = {"x": o * 7919 + n * 104729, "y": p * 15485863 + q * 32452843 + n * 611953, "z": o * 49979687 + n * 86028121}
+    return read(spark, sf, "lineitem").select((o * 8 + n).alias("id"), *[((v % 100003) / 50001.5 - 1).alias(c) for c, v in at.items()], (n % 3).alias("mesh"))
+
+
+GROWN_PT = """pt AS (SELECT l_orderkey * 8 + l_linenumber AS id, (l_orderkey * 7919 + l_linenumber * 104729) % 100003 / 50001.5::DOUBLE - 1 AS x,
+  (l_partkey * 15485863 + l_suppkey * 32452843 + l_linenumber * 611953) % 100003 / 50001.5::DOUBLE - 1 AS y, (l_orderkey * 49979687 + l_linenumber * 86028121) % 100003 / 50001.5::DOUBLE - 1 AS z FROM lineitem)"""
+
+
+def grown_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("l_orderkey")
+    p = read(spark, sf, "lineitem").groupBy((k % 256).cast("long").alias("px"), F.floor(k / 256).cast("long").alias("py"))
+    return p.agg(F.sum("l_quantity").cast("long").alias("v"), (F.min("l_suppkey") % 25).cast("long").alias("attr")).withColumn("valid", F.col("v") % 7 != 0)
+
+
+GROWN_PX = """px AS (SELECT *, v % 7 <> 0 AS valid FROM (SELECT CAST(l_orderkey % 256 AS BIGINT) AS px, CAST(l_orderkey // 256 AS BIGINT) AS py,
+  CAST(sum(l_quantity) AS BIGINT) AS v, CAST(min(l_suppkey) % 25 AS BIGINT) AS attr FROM lineitem GROUP BY 1, 2))"""

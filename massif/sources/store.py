@@ -31,6 +31,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def attempts(spark: SparkSession, final: str) -> list[str]:
     """Unpublished attempts at a snapshot, the oldest first."""
     fs, p = _fs(spark, final)
@@ -45,14 +50,22 @@ def create_attempt(final: str) -> str:
 
 
 def publish(spark: SparkSession, attempt: str, final: str) -> None:
-    """Rename an attempt to the final name, which must not exist, and delete the other attempts."""
+    """Rename an attempt to the final name, which must not exist, and delete the other attempts. A lock file that only one
+    writer can create keeps two from publishing at once; a writer that died holding it leaves a lock to be deleted by
+    hand."""
     fs, p = _fs(spark, final)
-    if fs.exists(p):
-        raise AlreadyExists(final)
-    if not fs.rename(_fs(spark, attempt)[1], p):
-        raise AlreadyExists(final)
-    for other in attempts(spark, final):
-        fs.delete(_fs(spark, other)[1], True)
+    lock = _fs(spark, f"{final}.lock")[1]
+    try:
+        fs.create(lock, False).close()
+    except Exception as held:
+        raise AlreadyExists(f"{final}.lock") from held
+    try:
+        if fs.exists(p) or not fs.rename(_fs(spark, attempt)[1], p):
+            raise AlreadyExists(final)
+        for other in attempts(spark, final):
+            fs.delete(_fs(spark, other)[1], True)
+    finally:
+        fs.delete(lock, False)
 
 
 def save_nodes(nodes: DataFrame, attempt: str, *, stored: DataFrame | None = None) -> None:
