@@ -31,25 +31,28 @@ def box_planes(lo: tuple[float, float, float], hi: tuple[float, float, float]) -
     return [(*n, a) for n, a in zip(unit, lo, strict=True)] + [(*[-c for c in n], -b) for n, b in zip(unit, hi, strict=True)]
 
 
-def clip(polygon: Column, planes: list[tuple[float, float, float, float]]) -> Column:
-    """A convex polygon cut by half-spaces n . p >= d, one after another; empty if nothing is left. Points on a plane are
-    inside. A plane with no z part clips in two dimensions."""
-    kind = "array<struct<nx:double,ny:double,nz:double,d:double>>"
-    cuts = F.array(*[F.struct(*[F.lit(float(v)) for v in p]) for p in planes]).cast(kind)
+_PLANES = "array<struct<nx:double,ny:double,nz:double,d:double>>"
 
-    def cut(poly: Column, plane: Column) -> Column:
-        def side(p: Column) -> Column:
-            return p["x"] * plane["nx"] + p["y"] * plane["ny"] + p["z"] * plane["nz"] - plane["d"]
 
-        def step(p: Column, q: Column) -> Column:
-            d, e = side(p), side(q)
-            cross = F.when((d >= 0) != (e >= 0), F.array(along(p, q, d / (d - e))))
-            return F.concat(F.coalesce(cross, F.slice(F.array(p), 1, 0)), F.when(e >= 0, F.array(q)).otherwise(F.slice(F.array(q), 1, 0)))
+def _cut(poly: Column, plane: Column) -> Column:
+    """What one half-space leaves of a convex polygon."""
+    def side(p: Column) -> Column:
+        return p["x"] * plane["nx"] + p["y"] * plane["ny"] + p["z"] * plane["nz"] - plane["d"]
 
-        following = F.concat(F.slice(poly, 2, F.greatest(F.size(poly), F.lit(1))), F.slice(poly, 1, 1))
-        return F.flatten(F.zip_with(poly, following, step))
+    def step(p: Column, q: Column) -> Column:
+        d, e = side(p), side(q)
+        cross = F.when((d >= 0) != (e >= 0), F.array(along(p, q, d / (d - e))))
+        return F.concat(F.coalesce(cross, F.slice(F.array(p), 1, 0)), F.when(e >= 0, F.array(q)).otherwise(F.slice(F.array(q), 1, 0)))
 
-    return F.aggregate(cuts, polygon.cast("array<struct<x:double,y:double,z:double>>"), cut)
+    following = F.concat(F.slice(poly, 2, F.greatest(F.size(poly), F.lit(1))), F.slice(poly, 1, 1))
+    return F.flatten(F.zip_with(poly, following, step))
+
+
+def clip(polygon: Column, planes: list[tuple[float, float, float, float]]) -> Column:
+    """A convex polygon cut by half-spaces n . p >= d, one after another; empty if nothing is left. Points on a plane are
+    inside. A plane with no z part clips in two dimensions."""
+    cuts = F.array(*[F.struct(*[F.lit(float(v)) for v in p]) for p in planes]).cast(_PLANES)
+    return F.aggregate(cuts, polygon.cast("array<struct<x:double,y:double,z:double>>"), _cut)
 
 
 def fan(polygon: Column) -> Column:
@@ -190,3 +193,40 @@ def fixed_segments_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
 def fixed_lerp(a: Column, b: Column, t: Column) -> Column:
     """The fixed value a share t (in fixed point) of the way from a to b."""
     return a + F.shiftright((b - a) * t, FIXED_BITS)
+
+
+def edge_planes(corners: list[Column], *, outside: int | None = None) -> Column:
+    """The half-planes of a counter-clockwise convex polygon of the plane, as an array for clip_by(). With `outside` = k: the
+    outside of edge k and the inside of the edges before it, so that these parts, over all k, are what the polygon leaves
+    of the plane, each point once."""
+    def plane(a: Column, b: Column, sign: float) -> Column:
+        nx, ny = -(b["y"] - a["y"]) * sign, (b["x"] - a["x"]) * sign
+        return F.struct(nx.alias("nx"), ny.alias("ny"), F.lit(0.0).alias("nz"), (nx * a["x"] + ny * a["y"]).alias("d"))
+
+    n = len(corners)
+    edges = [(corners[i], corners[(i + 1) % n]) for i in range(n)]
+    if outside is None:
+        return F.array(*[plane(a, b, 1.0) for a, b in edges])
+    return F.array(*[plane(a, b, 1.0) for a, b in edges[:outside]], plane(*edges[outside], -1.0))
+
+
+def clip_by(polygon: Column, planes: Column) -> Column:
+    """clip() by half-spaces in an array column."""
+    return F.aggregate(planes.cast(_PLANES), polygon.cast("array<struct<x:double,y:double,z:double>>"), _cut)
+
+
+def polygon_area_2d(polygon: Column) -> Column:
+    """Signed area of a polygon of the plane."""
+    following = F.concat(F.slice(polygon, 2, F.greatest(F.size(polygon), F.lit(1))), F.slice(polygon, 1, 1))
+    return F.aggregate(F.zip_with(polygon, following, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda s, x: s + x) / 2
+
+
+def segment_meets_box(x1: Column, y1: Column, x2: Column, y2: Column, lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column) -> Column:
+    """Whether a segment of the plane meets a box, borders included: the shares of it within each pair of lines overlap."""
+    first, last, out = F.lit(0.0), F.lit(1.0), F.lit(True)
+    for a, b, lo, hi in ((x1, x2, lo_x, hi_x), (y1, y2, lo_y, hi_y)):
+        d = b - a
+        t, u = (lo - a) / F.nullif(d, F.lit(0.0)), (hi - a) / F.nullif(d, F.lit(0.0))
+        first, last = F.greatest(first, F.least(t, u)), F.least(last, F.greatest(t, u))
+        out = out & ((d != 0) | a.between(lo, hi))
+    return out & (first <= last)
