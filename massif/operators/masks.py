@@ -139,8 +139,10 @@ def triangulate(rings: DataFrame) -> DataFrame:
 
 def is_planar(polygon: Column, tolerance: float) -> Column:
     """Whether all corners of a polygon lie within a tolerance of the plane of its first three."""
-    frame = g.plane_frame(polygon[0], polygon[1], polygon[2])
-    return F.forall(polygon, lambda p: F.abs(g.project(frame, p)["z"]) <= tolerance)
+    def flat(frame: Column) -> Column:
+        return F.forall(polygon, lambda p: F.abs(g.project(frame, p)["z"]) <= tolerance)
+
+    return octree.let(g.plane_frame(polygon[0], polygon[1], polygon[2]), flat)
 
 
 def cut(polygons: DataFrame, pieces: DataFrame, cell: float, *, keep_inside: bool) -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries over the reference tables, by name, with their oracles."""
 
-from massif.plans.queries import cutting, figures, grown, index, keys, meshes, rasters, spatial, surfaces, tables, textures  # noqa: F401
+from massif.plans.queries import building, cutting, figures, grown, index, keys, meshes, rasters, spatial, surfaces, tables, textures  # noqa: F401
 from massif.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
