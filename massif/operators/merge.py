@@ -165,3 +165,84 @@ def cut_leaves(leaves: DataFrame, space: octree.Space, low: tuple, high: tuple,
     if keep_inside:
         return leaves.filter(octree.in_ranges(F.col("index"), octree.morton_ranges(space, level, low, high))).filter(meets)
     return leaves.filter(~meets)
+
+
+def weld_greedy(points: DataFrame, eps: float) -> DataFrame:
+    """(id, merged): in the order of ids, a point that isn't welded yet takes to itself, of every other source (column
+    source), the nearest point within eps that isn't welded either, ties to the smaller id. As the order is sequential, each
+    eps-component is handled as a whole; components are local, as they span no gap wider than eps."""
+    comp = weld_components(points, eps).withColumnRenamed("merged", "component")
+    rows = points.join(comp, "id").select("component", "id", "source", "x", "y", "z")
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        at, src, ids = pdf[["x", "y", "z"]].to_numpy(), pdf["source"].to_numpy(), pdf["id"].to_numpy()
+        merged = np.full(len(pdf), -1, np.int64)
+        for i in range(len(pdf)):
+            if merged[i] >= 0:
+                continue
+            merged[i] = i
+            d2 = ((at - at[i]) ** 2).sum(axis=1)
+            free = np.flatnonzero((d2 <= eps * eps) & (merged < 0) & (src != src[i]))
+            taken: set = set()
+            for j in free[np.lexsort((free, d2[free]))]:
+                if src[j] not in taken:
+                    taken.add(src[j])
+                    merged[j] = i
+        return pd.DataFrame({"id": ids, "merged": ids[merged]})
+
+    return rows.groupBy("component").applyInPandas(greedy, "id long, merged long")
+
+
+MODES = ("GreedyLocal", "ConnectedComponents", "MultipartiteNearest", "ExactHashBased")
+
+
+def weld_mode(mode: str, eps: float, sources: int, *, within: bool = False) -> str:
+    """The mode that a weld runs in: what the asked one cannot do falls back to one that can."""
+    if mode not in MODES:
+        raise ValueError(f"InvalidInput: no mode {mode}")
+    if mode == "MultipartiteNearest" and within:
+        mode = "ConnectedComponents"
+    if mode == "MultipartiteNearest" and sources > 64:
+        mode = "GreedyLocal"
+    if mode != "ExactHashBased" and eps == 0:
+        mode = "ExactHashBased"
+    return "GreedyLocal" if mode == "ExactHashBased" and eps else mode
+
+
+def weld(points: DataFrame, eps: float, mode: str = "MultipartiteNearest", *, sources: int = 2, within: bool = False) -> DataFrame:
+    """(id, merged) of points (id, source, x, y, z), by mode."""
+    how = {"GreedyLocal": weld_greedy, "ConnectedComponents": weld_components, "MultipartiteNearest": weld_multipartite, "ExactHashBased": lambda p, _: weld_exact(p)}
+    return how[weld_mode(mode, eps, sources, within=within)](points, eps)
+
+
+def weld_meshes(vertices: DataFrame, triangles: DataFrame, eps: float, *, mode: str = "ConnectedComponents", average: bool = True) -> tuple[DataFrame, DataFrame]:
+    """One mesh of several (vertices: id, source, x, y, z; triangles: a, b, c by id): welded vertices at their mean or at the
+    position of the last, triangles without those that collapse or repeat."""
+    from massif.operators import mesh
+
+    mapping = weld(vertices, eps, mode)
+    place = (averaged if average else last_written)(vertices, mapping)
+    return place.withColumnRenamed("merged", "vid"), mesh.deduplicated(mesh.remap(triangles, mapping, "id", "merged"))
+
+
+def edge_epsilon(triangles: DataFrame, vertices: DataFrame, share: float = 0.01) -> float:
+    """A weld distance: a share of the shortest edge."""
+    from massif.operators import mesh
+
+    return (mesh.edge_lengths(triangles, vertices).agg(F.min("length")).first()[0] or 0.0) * share
+
+
+def mapping_sources(mapping: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(merged, sources): a mapping read backwards: the (source, id) that each merged vertex was made of, in order."""
+    s = F.sort_array(F.collect_list(F.struct("source", "id")))
+    return mapping.join(vertices.select("id", "source"), "id").groupBy("merged").agg(s.alias("sources"))
+
+
+def source_triangles(merged: DataFrame, mapping: DataFrame, triangles: DataFrame) -> DataFrame:
+    """(a, b, c, source, sa, sb, sc): the triangles of the sources (source, a, b, c) that each merged triangle stands for."""
+    t = triangles.select("source", *[F.col(k).alias(f"s{k}") for k in "abc"])
+    for k in "abc":
+        t = t.join(mapping.select(F.col("id").alias(f"s{k}"), F.col("merged").alias(k)), f"s{k}")
+    form = F.sort_array(F.array("a", "b", "c"))
+    return merged.withColumn("_f", form).join(t.select(form.alias("_f"), "source", "sa", "sb", "sc"), "_f").drop("_f")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +35,8 @@ def byte_range(spark: SparkSession, path: str, offset: int, length: int) -> Data
 
 
 def parse_gltf(content: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(positions, triangles) of the primitives of a .gltf with embedded buffers, or of a .glb."""
+    """(positions, triangles) of the primitives of a .gltf with embedded buffers, or of a .glb: each mesh at every node that
+    has it, in the coordinates of the scene; meshes as they are in a file without nodes."""
     chunk = b""
     if content[:4] == b"glTF":
         size = struct.unpack_from("<I", content, 12)[0]
@@ -51,10 +55,30 @@ def parse_gltf(content: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
         raw = buffers[view["buffer"]]
         return np.ndarray((a["count"], width), kind, raw, start, (stride, kind.itemsize)).copy()
 
+    def local(node: dict) -> np.ndarray:
+        """A node's matrix: its own, or scaled, then turned, then moved."""
+        if "matrix" in node:
+            return np.array(node["matrix"], float).reshape(4, 4).T
+        x, y, z, w = node.get("rotation", (0, 0, 0, 1))
+        turn = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+        out = np.eye(4)
+        out[:3, :3] = turn * np.array(node.get("scale", (1, 1, 1)))
+        out[:3, 3] = node.get("translation", (0, 0, 0))
+        return out
+
+    nodes = doc.get("nodes", [])
+    inner = {c for n in nodes for c in n.get("children", [])}
+    work, placed = [(i, np.eye(4)) for i in range(len(nodes)) if i not in inner], []
+    while work:
+        i, above = work.pop(0)
+        world = above @ local(nodes[i])
+        if "mesh" in nodes[i]:
+            placed.append((nodes[i]["mesh"], world))
+        work += [(c, world) for c in nodes[i].get("children", [])]
     out = []
-    for mesh in doc.get("meshes", []):
-        for p in mesh["primitives"]:
-            at = accessor(p["attributes"]["POSITION"]).astype(float)
+    for k, world in placed or [(k, np.eye(4)) for k in range(len(doc.get("meshes", [])))]:
+        for p in doc["meshes"][k]["primitives"]:
+            at = accessor(p["attributes"]["POSITION"]).astype(float) @ world[:3, :3].T + world[:3, 3]
             tri = accessor(p["indices"]).reshape(-1, 3) if "indices" in p else np.arange(len(at)).reshape(-1, 3)
             out.append((at, tri.astype(np.int64)))
     return out
@@ -73,12 +97,34 @@ def meshes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, MESH)
 
 
-def gltf_of(positions: np.ndarray, triangles: np.ndarray) -> bytes:
-    """A .gltf of one mesh with its buffer embedded."""
+def write_meshes(vertices: DataFrame, triangles: DataFrame, path: str) -> DataFrame:
+    """(name, file) of a .gltf for each mesh (name, vid, x, y, z; name, a, b, c) below `path`, which Arrow can write. A mesh
+    is written by one task, under a temporary name first."""
+    rows = vertices.select("name", F.lit(0).alias("kind"), "vid", "x", "y", "z", *[F.lit(0).cast("long").alias(k) for k in "abc"])
+    rows = rows.unionByName(triangles.select("name", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("vid"), *[F.lit(0.0).alias(p) for p in "xyz"], "a", "b", "c"))
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, t = (pdf[pdf["kind"] == k] for k in (0, 1))
+        v = v.sort_values("vid")
+        tri = np.searchsorted(v["vid"].to_numpy(), t[["a", "b", "c"]].to_numpy())
+        name = str(pdf["name"].iloc[0])
+        fs, root = pafs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (pafs.LocalFileSystem(), path)
+        fs.create_dir(root, recursive=True)
+        part = f"{root}/.{name}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(part, compression=None) as out:
+            out.write(gltf_of(v[["x", "y", "z"]].to_numpy(), tri))
+        fs.move(part, f"{root}/{name}.gltf")
+        return pd.DataFrame({"name": [name], "file": [f"{name}.gltf"]})
+
+    return rows.groupBy("name").applyInPandas(write, "name string, file string")
+
+
+def gltf_of(positions: np.ndarray, triangles: np.ndarray, node: dict | None = None) -> bytes:
+    """A .gltf of one mesh with its buffer embedded, at a node that may have a transform."""
     at, tri = np.asarray(positions, "<f4"), np.asarray(triangles, "<u4")
     raw = at.tobytes() + tri.tobytes()
     return json.dumps({
-        "asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0}],
+        "asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0, **(node or {})}],
         "meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "indices": 1}]}],
         "buffers": [{"byteLength": len(raw), "uri": "data:application/octet-stream;base64," + base64.b64encode(raw).decode()}],
         "bufferViews": [{"buffer": 0, "byteOffset": 0, "byteLength": at.nbytes}, {"buffer": 0, "byteOffset": at.nbytes, "byteLength": tri.nbytes}],
