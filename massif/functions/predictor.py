@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -33,12 +34,16 @@ def expand(data: bytes, most: int) -> bytes:
     return pa.Codec("zstd").decompress(data[8:], decompressed_size=size, asbytes=True)
 
 
-@F.pandas_udf("binary")
-def encode_rows(rows: pd.Series) -> pd.Series:
+def encode_rows(rows: Column) -> Column:
     """Arrays of floats, predicted and compressed; nulls stay null."""
-    return rows.map(lambda r: None if r is None else compress(spread(np.asarray(r, "f4"))))
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None else compress(spread(np.asarray(r, "f4"))))
 
+    return F.pandas_udf(run, "binary")(rows)
 
-@F.pandas_udf("array<float>")
-def decode_rows(data: pd.Series) -> pd.Series:
-    return data.map(lambda d: None if d is None else gather(expand(bytes(d), 1 << 28)))
+
+def decode_rows(data: Column) -> Column:
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda d: None if d is None else gather(expand(bytes(d), 1 << 28)))
+
+    return F.pandas_udf(run, "array<float>")(data)

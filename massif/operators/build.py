@@ -10,8 +10,9 @@ from massif.functions import geometry as g
 from massif.functions import octree
 from massif.operators import lod, mesh
 from massif.operators.index import with_ancestors
+from massif.plans.control import StopSignal
 from massif.plans.shared import stash
-from massif.sources import store
+from massif.sources import files, store
 
 SCHEMA = "nodes/1"
 
@@ -66,16 +67,18 @@ def coarsened(triangles: DataFrame, cell: float, mode: str) -> DataFrame:
     return out.select("index", lod.combine_error(mode, F.col("error"), step).alias("error"), *[F.col("f")[i][p].alias(f"{k}{p}") for i, k in enumerate("abc") for p in "xyz"])
 
 
-def build_levels(inputs: DataFrame, space: octree.Space, finest: int, coarsest: int, *, size: int = 256, group: int = 4, cells: float = 64.0, mode: str = "Add", path: str | None = None, spark: SparkSession | None = None) -> DataFrame:
+def build_levels(inputs: DataFrame, space: octree.Space, finest: int, coarsest: int, *, size: int = 256, group: int = 4, cells: float = 64.0, mode: str = "Add", path: str | None = None, stop: StopSignal | None = None) -> DataFrame:
     """(level, index, cluster, group_id, n, lo_x..hi_z, cx..cz, error) of a tree of nodes over `inputs` (level, index,
     ax..cz): leaves on the finest level are their own triangles, each coarser node is made of its children's, simplified
     to `cells` steps along a node, with leaves that are stored on its level.
 
     A level is stored before the next is made. With `path`, levels are kept there and those already whole aren't made
-    again."""
+    again; a request to stop is heeded between levels."""
     spark = inputs.sparkSession
     below, out = None, None
     for level in range(finest, coarsest - 1, -1):
+        if stop:
+            stop.check()
         own = inputs.filter(F.col("level") == level).select("index", F.lit(0.0).alias("error"), *[f"{k}{p}" for k in "abc" for p in "xyz"])
         at = f"{path}/level={level}" if path else None
         if at and store.exists(spark, f"{at}/triangles/_SUCCESS"):
@@ -247,6 +250,16 @@ def read_clusters(spark: SparkSession, path: str, keys: DataFrame | None = None)
     return rows if keys is None else rows.join(keys.select("level", "index"), ["level", "index"], "left_semi")
 
 
+def export_nodes(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """(name, file): every node of a store as a mesh file named by its key, for looking at; virtual nodes hold nothing and
+    have none."""
+    require_header(spark, path)
+    t = spark.read.parquet(f"{path}/triangles").withColumn("cluster", F.lit(0).cast("long"))
+    m = merged_groups(t.withColumnRenamed("index", "key").withColumn("index", F.struct("level", "key")), 1)
+    m = m.withColumn("name", F.concat_ws("-", F.col("index.level").cast("string"), F.col("index.key").cast("string")))
+    return files.write_meshes(m.filter("kind = 'vertex'").select("name", "vid", "x", "y", "z"), m.filter("kind = 'triangle'").select("name", "a", "b", "c"), folder)
+
+
 def read_node(spark: SparkSession, path: str, level: int, index: int) -> DataFrame:
     """The triangles of a node with their clusters' columns; the key's comparisons reach both scans."""
     require_header(spark, path)

@@ -29,9 +29,28 @@ def zoom_range(tiles: DataFrame, low: int, high: int) -> DataFrame:
     return tiles.filter(F.col("zoom").between(low, high))
 
 
+GOOGLE = r"/(\d+)/(\d+)/(\d+)\.jpe?g$"  # zoom, x, y
+
+
+def provided(wanted: DataFrame, tiles: DataFrame) -> DataFrame:
+    """`wanted` (zoom, x, y) with the content that a provider's table of tiles has for them, null where it has none. Any
+    table is a provider; an empty one has no tile."""
+    return wanted.join(tiles.select("zoom", "x", "y", "content"), ["zoom", "x", "y"], "left")
+
+
 def byte_range(spark: SparkSession, path: str, offset: int, length: int) -> DataFrame:
-    """(path, bytes) of a range of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.substring("content", offset + 1, length).alias("bytes"))
+    """(path, bytes) of a range of each file: no more of it is read. Files are listed by Spark and opened by Arrow."""
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for name in pdf["path"]:
+                fs, at = pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", name))
+                with fs.open_input_file(at) as f:
+                    f.seek(min(offset, f.size()))
+                    out.append(f.read(length))
+            yield pd.DataFrame({"path": pdf["path"], "bytes": out})
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, "path string, bytes binary")
 
 
 def parse_gltf(content: bytes) -> list[tuple[np.ndarray, np.ndarray]]:

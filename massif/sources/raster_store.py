@@ -9,9 +9,9 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massif.errors import CorruptData, InvalidInput, NotFound
 from massif.operators import raster
 from massif.sources import store
-from massif.sources.store import InvalidData
 
 SCHEMA = "raster-store/1"
 
@@ -29,7 +29,7 @@ class Options:
 def create(spark: SparkSession, final: str, options: Options) -> str:
     """An attempt at a store, with its manifest."""
     if options.tile % options.subtile:
-        raise ValueError("InvalidInput: a tile is a whole number of subtiles")
+        raise InvalidInput("a tile is a whole number of subtiles")
     attempt = store.create_attempt(final)
     _write_text(spark, f"{attempt}/manifest", json.dumps({"schema": SCHEMA, **asdict(options)}, sort_keys=True))
     return attempt
@@ -43,7 +43,7 @@ def manifest(spark: SparkSession, path: str) -> Options:
     """The options of a store; another schema is an error, read before any tile."""
     head = json.loads(spark.read.text(f"{path}/manifest").first()[0])
     if head.pop("schema", None) != SCHEMA:
-        raise InvalidData(f"{path} is no {SCHEMA}")
+        raise CorruptData(f"{path} is no {SCHEMA}")
     return Options(**head)
 
 
@@ -104,9 +104,9 @@ def read_tile(spark: SparkSession, path: str, zoom: int, x: int, y: int, expecte
     found = rows.agg(F.bit_xor(F.xxhash64("sx", "sy", F.xxhash64("data")))).first()[0]
     known = index(spark, path).filter(here & (F.col("zoom") == zoom)).select("hash").first()
     if known is None:
-        raise FileNotFoundError(f"tile {zoom}/{x}/{y}")
+        raise NotFound(f"tile {zoom}/{x}/{y}")
     if found != known[0] or expected not in (None, found):
-        raise InvalidData(f"tile {zoom}/{x}/{y} does not have its hash")
+        raise CorruptData(f"tile {zoom}/{x}/{y} does not have its hash")
     return _pixels(rows, manifest(spark, path))
 
 

@@ -9,16 +9,13 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massif.errors import AlreadyExists, CorruptData, NotFound
+
 ATTRIBUTION = "idx INT, spatial_resolution DOUBLE, acquisition_date STRING, ingestion_date STRING, copyright STRING, copyright_link STRING, license STRING"
 FIELDS = ("spatial_resolution", "acquisition_date", "ingestion_date", "copyright", "copyright_link", "license")
 
 
-class AlreadyExists(Exception):
-    pass
-
-
-class InvalidData(Exception):
-    pass
+InvalidData = CorruptData
 
 
 def _fs(spark: SparkSession, path: str):
@@ -99,6 +96,27 @@ def link_unchanged(source: DataFrame, keys: DataFrame) -> DataFrame:
     return source.join(keys.select("level", "index"), ["level", "index"], "left_semi")
 
 
+def link_hashed(source: DataFrame, keys: DataFrame, *cells: str) -> DataFrame:
+    """Rows of `source` (level, index, hash, ...) for the keys, their hashes with them. Content that no longer has its
+    recorded hash is an error, raised by the tasks that meet it; a key that the source lacks is left out."""
+    same = F.col("hash") == content_hash(*[F.col(c) for c in cells])
+    broken = F.raise_error(F.concat(F.lit("CorruptData: node "), F.col("level").cast("string"), F.lit("/"), F.col("index").cast("string"), F.lit(" does not have its hash"))).cast("long")
+    return link_unchanged(source, keys).withColumn("hash", F.when(same, F.col("hash")).otherwise(broken))
+
+
+def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """`keys` (level, index) with their status, Missing if the index lacks them, and whether something is stored there."""
+    found = keys.join(index.select("level", "index", "status"), ["level", "index"], "left").withColumn("status", F.coalesce("status", F.lit("Missing")))
+    return found.withColumn("present", F.col("status").isin("Leaf", "Inner"))
+
+
+def set_status(index: DataFrame, changed: DataFrame) -> DataFrame:
+    """The index with the statuses of `changed` (level, index, status) set as they are, without a look at other keys; a
+    Missing one goes."""
+    kept = index.join(changed.select("level", "index"), ["level", "index"], "left_anti")
+    return kept.unionByName(changed.filter("status <> 'Missing'").select("level", "index", "status"))
+
+
 def link_subtree(source: DataFrame, level: int, index: int) -> DataFrame:
     """Rows of a node and all below it: on each level a range of indices."""
     below = F.call_function("shiftright", F.col("index"), (3 * F.greatest(F.col("level") - level, F.lit(0))).cast("int")) == index
@@ -142,7 +160,7 @@ def read_attribution(spark: SparkSession, index_path: str) -> DataFrame:
         if exists(spark, path):
             return parse_attribution(spark, spark.read.text(path, wholetext=True).first()[0])
         folder = folder.rsplit("/", 1)[0]
-    raise FileNotFoundError("source_attribution_table.json")
+    raise NotFound("source_attribution_table.json")
 
 
 def read_subtiles(tiles: DataFrame, zoom: int, x: int, y: int, sx: tuple[int, int], sy: tuple[int, int]) -> DataFrame:
