@@ -12,7 +12,10 @@ from massif.functions.quadtree import HALF
 # Semi-major axis and flattening of WGS 84, and the square of its eccentricity.
 A, FLAT = 6378137.0, 1 / 298.257223563
 E2 = FLAT * (2 - FLAT)
-SUPPORTED = {4326: "WGS 84", 3857: "WGS 84 / Pseudo-Mercator", 4978: "WGS 84 (geocentric)"}
+SUPPORTED = {4326: "WGS 84", 3857: "WGS 84 / Pseudo-Mercator", 4978: "WGS 84 (geocentric)", 4312: "MGI"}
+# The Bessel ellipsoid, and the shift (metres), rotation (arc seconds) and scale (millionths) from MGI to WGS 84.
+BESSEL_A, BESSEL_E2 = 6377397.155, (2 - 1 / 299.1528128) / 299.1528128
+MGI_SHIFT, MGI_TURN, MGI_SCALE = (577.326, 90.129, 463.919), (5.137, 1.474, 5.297), 2.4232
 
 
 def require(epsg: int) -> str:
@@ -29,10 +32,19 @@ def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     return x * (180 / HALF), F.degrees(F.atan(F.exp(y / A)) * 2 - math.pi / 2)
 
 
-def to_ecef(lon: Column, lat: Column, h: Column) -> tuple[Column, Column, Column]:
+def to_ecef(lon: Column, lat: Column, h: Column, a: float = A, e2: float = E2) -> tuple[Column, Column, Column]:
     lam, phi = F.radians(lon), F.radians(lat)
-    n = F.lit(A) / F.sqrt(1 - E2 * F.sin(phi) * F.sin(phi))
-    return (n + h) * F.cos(phi) * F.cos(lam), (n + h) * F.cos(phi) * F.sin(lam), (n * (1 - E2) + h) * F.sin(phi)
+    n = F.lit(a) / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
+    return (n + h) * F.cos(phi) * F.cos(lam), (n + h) * F.cos(phi) * F.sin(lam), (n * (1 - e2) + h) * F.sin(phi)
+
+
+def mgi_to_ecef(lon: Column, lat: Column, h: Column) -> tuple[Column, Column, Column]:
+    """Geographic MGI to WGS 84 geocentric, by the seven parameters of a position vector transformation."""
+    x, y, z = to_ecef(lon, lat, h, BESSEL_A, BESSEL_E2)
+    rx, ry, rz = (math.radians(t / 3600) for t in MGI_TURN)
+    k = 1 + MGI_SCALE * 1e-6
+    dx, dy, dz = MGI_SHIFT
+    return (x - y * rz + z * ry) * k + dx, (x * rz + y - z * rx) * k + dy, (y * rx - x * ry + z) * k + dz
 
 
 def from_ecef(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:

@@ -9,6 +9,7 @@ from massif.functions import octree
 from massif.plans.shared import stash
 
 TRIANGLES = 256  # in a cluster
+TRIANGLES_OF_FEW_VERTICES = 85  # which never have more than 255 vertices
 
 
 def centroid(placed: DataFrame) -> list[Column]:
@@ -17,7 +18,8 @@ def centroid(placed: DataFrame) -> list[Column]:
 
 def clusterize(placed: DataFrame, space: octree.Space, *, coarse: int = 2, fine: int = 10, size: int = TRIANGLES) -> DataFrame:
     """`placed` triangles with `node` (coarse cell of the centroid) and `cluster`: blocks of `size` in the order of their
-    finest cells. Blocks are numbered within a node, so no task sorts the whole mesh."""
+    finest cells. Blocks are numbered within a node, so no task sorts the whole mesh. Where vertices are numbered in a byte,
+    `size` is TRIANGLES_OF_FEW_VERTICES."""
     at = centroid(placed)
     keyed = placed.withColumn("morton", octree.cell_of(space, F.lit(fine), *at)).withColumn("node", octree.up(F.col("morton"), F.lit(fine - coarse)))
     n = F.row_number().over(Window.partitionBy("node").orderBy("morton", "a", "b", "c"))

@@ -125,6 +125,13 @@ def unoriented(a: Column, b: Column, c: Column) -> Column:
     return F.sort_array(F.array(a, b, c))
 
 
+def compare(t: list[Column], s: list[Column], *, orientation: bool = True) -> Column:
+    """-1, 0 or 1 by the order of two triangles in canonical form; with orientation, mirrored ones differ."""
+    form = oriented if orientation else unoriented
+    a, b = form(*t), form(*s)
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
 def _spread(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key)[0].alias("a"), F.col(key)[1].alias("b"), F.col(key)[2].alias("c"), *[c for c in df.columns if c != key])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from massif.functions import geometry as g
+from massif.functions import srs
 from massif.operators import merge, mesh, terrain
 from massif.plans import fixtures as fx
 from massif.plans.queries.meshes import V, tri
@@ -109,6 +110,26 @@ def _(spark, sf):
     return terrain.patch_meshes(_patches(spark, sf))
 
 
+_B_A, _B_E2 = srs.BESSEL_A, srs.BESSEL_E2
+_RX, _RY, _RZ = (t * 3.141592653589793 / 180 / 3600 for t in srs.MGI_TURN)
+
+
+@query("mgi_to_ecef", f"""{PT}, r AS (SELECT id, radians(13 + x * 4) AS l, radians(47.5 + y * 2) AS p, z * 1000 + 500 AS h FROM pt), n AS (SELECT *, {_B_A!r}::DOUBLE / sqrt(1 - {_B_E2!r}::DOUBLE * sin(p) * sin(p)) AS n FROM r),
+e AS (SELECT id, (n + h) * cos(p) * cos(l) AS x, (n + h) * cos(p) * sin(l) AS y, (n * (1 - {_B_E2!r}::DOUBLE) + h) * sin(p) AS z FROM n)
+SELECT id, round((x - y * {_RZ!r}::DOUBLE + z * {_RY!r}::DOUBLE) * 1.0000024232::DOUBLE + 577.326, 4) AS x, round((x * {_RZ!r}::DOUBLE + y - z * {_RX!r}::DOUBLE) * 1.0000024232::DOUBLE + 90.129, 4) AS y, round((y * {_RX!r}::DOUBLE - x * {_RY!r}::DOUBLE + z) * 1.0000024232::DOUBLE + 463.919, 4) AS z FROM e""")
+def _(spark, sf):
+    p = fx.points(spark, sf)
+    at = srs.mgi_to_ecef(13 + F.col("x") * 4, 47.5 + F.col("y") * 2, F.col("z") * 1000 + 500)
+    return p.select("id", *[F.round(c, 4).alias(n) for c, n in zip(at, "xyz", strict=True)])
+
+
+@query("triangle_order", f"{V.replace(', ' + fx.VERTS, '')}, p AS (SELECT a, b, c, CASE WHEN a % 2 = 0 THEN a ELSE b END AS d, CASE WHEN a % 2 = 0 THEN c ELSE a END AS e, CASE WHEN a % 2 = 0 THEN b ELSE c END AS f FROM tri), q AS (SELECT *, CASE WHEN a = least(a, b, c) THEN [a, b, c] WHEN b = least(a, b, c) THEN [b, c, a] ELSE [c, a, b] END AS t, CASE WHEN d = least(d, e, f) THEN [d, e, f] WHEN e = least(d, e, f) THEN [e, f, d] ELSE [f, d, e] END AS s FROM p) SELECT a, b, c, CASE WHEN t < s THEN -1 WHEN t > s THEN 1 ELSE 0 END AS strict, CASE WHEN list_sort(t) < list_sort(s) THEN -1 WHEN list_sort(t) > list_sort(s) THEN 1 ELSE 0 END AS loose FROM q")
+def _(spark, sf):
+    even = F.col("a") % 2 == 0
+    t, s = [F.col(k) for k in "abc"], [F.when(even, F.col(p)).otherwise(F.col(q)) for p, q in ("ab", "ca", "bc")]
+    return tri(spark, sf).select("a", "b", "c", mesh.compare(t, s).alias("strict"), mesh.compare(t, s, orientation=False).alias("loose"))
+
+
 # Welds
 
 
