@@ -17,7 +17,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massif.llm.tokens import arrow_chunks, encoder
+from massif.llm.tokens import arrow_chunks, encoder, release, small_batches
 from massif.llm.warc import MANIFEST, _filesystem, commit
 from massif.plans.shared import fresh_dir, stash
 
@@ -111,6 +111,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
     than the two are left out. Sequences are packed within blocks; each leaves one or two that aren't full. Rows equal in
     id and text share a block; one that they make four times too long is packed in parts, in memory one at a time."""
     end = int(end_id).to_bytes(4, "little")
+    small_batches(docs.sparkSession)
     slim = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
     total = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
@@ -201,6 +202,7 @@ def read_packed(spark: SparkSession, path: str, *, id_type: str = "long", keep_i
                 if keep_ids:
                     arrays.append(pa.array(kept, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * keep_ids)
+        release()
 
     return manifest.select("file").repartition(max(1, min(10_000, manifest.count())), "file").mapInArrow(read, schema)
 

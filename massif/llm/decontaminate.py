@@ -11,15 +11,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from massif.llm.tokens import release, small_batches
 from massif.plans.shared import stash
 
 # A-Z become a-z; of ASCII, other characters than letters and digits become spaces.
 _FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 BLOCK_BYTES = 16 << 20  # benchmark text that one pass over the documents searches for
-SHARD_WORDS = 1 << 20  # words of one suffix array
+SHARD_WORDS = 1 << 18  # words of one suffix array
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -150,7 +152,7 @@ class Shard:
 def _shards(batches, size: int):
     """Arrow batches cut so that a shard's text stays near `size` words (five bytes each), one document at least."""
     for batch in batches:
-        lengths = [len(t) if t else 0 for t in batch.column(1).to_pylist()]
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()  # no text becomes a Python object yet
         begin = total = 0
         for i, n in enumerate(lengths):
             if total and total + n > 5 * size:
@@ -159,6 +161,7 @@ def _shards(batches, size: int):
             total += n
         if begin < len(lengths):
             yield batch.slice(begin)
+        release()
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int, *, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES):
@@ -197,6 +200,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     nothing; repeated rows give their places each; without documents or items the result is empty."""
     kind = docs.schema[id_col].dataType.simpleString()
     out = None
+    small_batches(docs.sparkSession)
     for number, test in enumerate(benchmark_blocks(benchmark, 10, id_col=item_col, block_bytes=block_bytes)):
 
         def run(batches, test=test, number=number):
@@ -298,6 +302,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None
     columns = [c for c in (keep or docs.columns) if c not in OUTPUTS]
     found, carried = docs.drop(*OUTPUTS - {text_col}), [*dict.fromkeys([*columns, text_col])]
     held = None
+    small_batches(docs.sparkSession)
     for test in benchmark_blocks(benchmark, window, id_col=item_col, text_col="text", block_bytes=block_bytes):
         if held is not None:
             found = stash(_search_block(found, held, carried, text_col), "decontaminated")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massif.llm.tokens import arrow_chunks
+from massif.llm.tokens import arrow_chunks, small_batches
 
 TOP = 400  # n-grams in a profile
 FIT_DOCS = 2000  # documents of one language that its profile is learnt from, about
@@ -97,6 +97,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     More than MAX_LANGUAGES are an error. Rows with null text or language teach nothing, nor do rows labelled `und`, which is the answer for texts without letters
     and therefore no language. Equal ids are chosen together; an empty table gives no profiles."""
+    small_batches(docs.sparkSession)
     train = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(lang_col) != "und"))
     sizes = {r[0]: r[1] for r in train.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
@@ -129,6 +130,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, keep: list[str] | None = No
     Null texts and texts without a letter are `und` with score 0. Repeated rows are judged each; an empty table gives an
     empty result. Columns of `docs` named like an output are left out."""
     columns = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for part in arrow_chunks(batches):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massif.llm.tokens import arrow_chunks, encoder
+from massif.llm.tokens import arrow_chunks, encoder, release, small_batches
 from massif.plans.shared import stash
 
 ROWS_PER_BUCKET = 2000  # pieces of one length that are ranked together
@@ -96,6 +96,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, size: i
     ids_type = docs.schema[id_col].dataType
     schema = f"{id_col} {ids_type.simpleString()}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
     end = int(end_id).to_bytes(4, "little")
+    small_batches(docs.sparkSession)
 
     def run(batches):
         enc = encoder(tokenizer_path)
@@ -149,6 +150,7 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), *, id_col: str = "doc_id
             k = (length << 40) + rank
             i = np.searchsorted(key, k, side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bins[i] + (k - key[i]), pa.int64()), pa.array(offsets[i], pa.int64())], [*names, "sequence_id", "offset"])
+        release()
 
     ranked = ranked.select(*names, "_rank")
     kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massif.llm.tokens import arrow_chunks
+from massif.llm.tokens import arrow_chunks, arrow_rows, release, small_batches
 from massif.operators.components import connected_components
 from massif.plans.shared import shuffle_width, stash
 
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fps = np.array([fingerprint(t, words) for t in part.column(2).to_pylist()], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64())], [id_col, "digest", "fp"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.xxhash64(text_col).alias("digest"), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, digest long, fp long")
 
@@ -134,6 +135,7 @@ def near_links(fps: DataFrame, *, radius: int = 3, blocks: int = 4) -> DataFrame
                 held.append((k[last:], f[last:]))
         if held:
             yield joined()
+        release()
 
     def as_batch(found):
         found = found.view(np.int64)
@@ -153,7 +155,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     empty result."""
     prints = stash(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
     distinct = stash(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct-fingerprints")
-    links = stash(near_links(distinct, radius=radius, blocks=blocks), "links")
+    with arrow_rows(docs.sparkSession, 10_000):
+        links = stash(near_links(distinct, radius=radius, blocks=blocks), "links")
     nodes = connected_components(links).join(distinct, F.col("node") == F.col("fp"))
     named = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = nodes.select("node", "component").join(named, "component").select("node", "component", "component_id")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massif.llm.tokens import arrow_chunks, encoder
+from massif.llm.tokens import arrow_chunks, encoder, small_batches
 from massif.plans.shared import shuffle_width, stash
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -58,6 +58,7 @@ def encode_misses(texts: DataFrame, cache: DataFrame, tokenizer_path: str, versi
     """(content_digest, tokenizer_digest, n_tokens) of each distinct content of `texts` (content_digest, text) that
     `cache` lacks. Copies meet in one partition by digest, after each map task has dropped its own."""
     spark = texts.sparkSession
+    small_batches(spark)
 
     def count(batches):
         met: set[bytes] = set()

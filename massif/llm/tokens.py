@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 import sys
 import types
 from array import array
+from contextlib import contextmanager
+
+import pyarrow as pa
+from pyspark.sql import SparkSession
 
 # Fixed value: the splitting pattern of byte-level BPE with use_regex.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,6 +55,8 @@ class TextEncoder:
             and not pre.get("add_prefix_space") and pre.get("use_regex") is True
         )
         self.ranked = self._ranked(spec["model"]) if simple else None
+        del spec
+        release()
 
     @staticmethod
     def _ranked(model: dict):
@@ -89,8 +96,37 @@ def encoder(path: str) -> TextEncoder:
     return store[key]
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows in an Arrow batch from Spark's 10,000, which are tens of megabytes of texts in every buffer
+    between the JVM and a worker. Another setting than that is the user's and stays."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, "1000")
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """For what runs meanwhile, so many rows in a batch: slim rows are better sent in large batches."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
 def arrow_chunks(batches, size: int = 256):
     """Slices of Arrow batches, so that Python objects are made for a few rows at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+    release()

@@ -18,6 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massif.llm.tokens import release, small_batches
 from massif.plans.shared import fresh_dir, stash
 
 ROLL_BYTES = 64 << 20  # compressed bytes at which a file ends
@@ -158,6 +159,7 @@ def write_warc(pages: DataFrame, path: str, *, key_col: str = "page_id", url_col
     rows = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     spark, starts = pages.sparkSession, key_ranges(rows, shard_bytes)
+    small_batches(spark)
     none = F.lit(None)
     marks = revisits(rows, least_bytes).select("key", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "digest", "refers_to", F.lit(0).alias("kind"))
     both = marks.union(rows.select("key", "url", "payload", "digest", none.cast("long").alias("refers_to"), F.lit(1).alias("kind")))
@@ -199,6 +201,7 @@ def write_warc(pages: DataFrame, path: str, *, key_col: str = "page_id", url_col
                 out.write(data)
                 records, size = records + 1, size + len(data)
         end()
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 5, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["shard", "file", "temporary", "records", "bytes"])
 
     written = stash(dealt.mapInArrow(write, MANIFEST), "warc-manifest")
@@ -282,6 +285,7 @@ def read_warc(spark: SparkSession, path: str, *, payloads: bool = False) -> Data
                     raise ValueError(f"{name} has {seen} records, its manifest {expected}")
                 if rows:
                     yield batch_of(rows)
+        release()
 
     schema = "key long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
     files = manifest.select("file", "records").repartition(max(1, min(10_000, manifest.count())), "file")
