@@ -12,6 +12,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "index_status_counts", "key_neighbours", "shifted_point_to_cell", "box_cover", "traverse_refine_pruned", "raster_fold", "reduce_mode", "upscale_bilinear", "lanczos3_down",
     "eps_pairs", "nearest_ancestor_join", "tile_cover_painter", "mesh_boundary_edges", "cut_inside", "cut_outside", "point_in_mask", "simple_merge_actions", "weld_components", "level_targets",
+    "vertex_fans", "mesh_components", "reindex_first_use", "dedup_by_normal", "offset_locate", "triangles_overlap", "fixed_point_segments", "grown_nearest_ancestor", "warp_bilinear", "windowed_scaling",
+    "raster_store_levels", "mask_cover", "masked_traversal", "cut_mask_outside", "lod_full_build", "triangle_correspondence", "native_read_windows", "terrain_patches", "link_with_hash", "region_texts",
     "clip_box", "clip_polygon_2d", "mesh_bfs", "split_cluster_parts", "mesh_validate", "barycentric_interpolate", "segment_distance", "padded_bounds",
 ]
 
