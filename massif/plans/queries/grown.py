@@ -145,7 +145,7 @@ def _(spark, sf):
 def _clamp(taps, table: str, axis: str, n: int, name: str) -> str:
     values = ", ".join(f"({d}, CAST({w!r} AS DOUBLE))" for d, w in taps)
     other = "py" if axis == "px" else "px"
-    return f"k_{name}(d, b) AS (VALUES {values}), {name} AS (SELECT o.i AS {axis}, s.{other} AS {other}, sum(s.v * k.b) AS v FROM (SELECT unnest(range(0, {n})) AS i) o, k_{name} k JOIN {table} s ON s.{axis} = least(greatest(o.i + k.d, 0), {n - 1}) GROUP BY 1, 2)"
+    return f"k_{name}(d, b) AS (VALUES {values}), {name} AS (SELECT o.i AS {axis}, s.{other} AS {other}, sum(s.v * k.b) AS v FROM (SELECT unnest(range(0, {n})) AS i) o, k_{name} k JOIN {table} s ON s.{axis} = least(greatest(o.i + k.d, 0), {n - 1}) GROUP BY 1, 2 HAVING count(*) = {len(taps)})"
 
 
 for _a in (2, 4):
