@@ -58,9 +58,10 @@ def on_sphere(df: DataFrame, radius: float) -> DataFrame:
 
 def nearest_ancestor(keys: DataFrame, stored: DataFrame) -> DataFrame:
     """Each key with the deepest stored key that is itself or an ancestor (found_level, found_index); keys without one
-    have none."""
-    k = keys.withColumn("steps", F.explode(F.sequence(F.lit(0), F.col("level").cast("int"))))
-    k = k.withColumns({"al": F.col("level") - F.col("steps"), "ai": octree.up(F.col("index"), F.col("steps"))})
+    have none. Only the levels that hold something are looked at."""
+    levels = sorted(r[0] for r in stored.select("level").distinct().collect())  # 22 at most
+    above = F.filter(F.array(*[F.lit(v) for v in levels]).cast("array<long>"), lambda v: v <= F.col("level"))
+    k = keys.select("level", "index", F.explode(above).alias("al")).withColumn("ai", octree.up(F.col("index"), F.col("level") - F.col("al")))
     s = stored.select(F.col("level").alias("al"), F.col("index").alias("ai"))
     hits = k.join(s, ["al", "ai"]).groupBy("level", "index").agg(F.max_by(F.struct("al", "ai"), "al").alias("a"))
     return keys.join(hits, ["level", "index"], "left").select("level", "index", F.col("a.al").alias("found_level"), F.col("a.ai").alias("found_index"))
