@@ -2,11 +2,14 @@
 
 Every fingerprint emits all variants within half the radius; two fingerprints within the radius share a variant. For an
 odd radius the two half balls end one bit apart, so each variant is emitted once for each of a few blocks of bits with
-that block wiped: one differing bit falls into some wiped block, and the rest are met half way. Colliding fingerprints are
-verified, and only a spanning forest of the verified links leaves a group, so a dense group gives no square of pairs."""
+that block wiped: one differing bit falls into some wiped block, and the rest are met half way. Wider radii wipe several
+blocks at once: with any two of four wiped, of six differing bits two at most are left to be met half way. Colliding
+fingerprints are verified, and only a spanning forest of the verified links leaves a group, so a dense group gives no
+square of pairs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
@@ -21,6 +24,15 @@ from massif.plans.shared import shuffle_width, stash
 BITS = 64
 
 
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that over half of some unsigned hashes have, given in parts; none give zero."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in parts:
+        ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """A text's SimHash, unsigned: majority bits of the XXH64 of its shingles, repeats included. Fewer words make one
     shingle; none give zero."""
@@ -34,11 +46,8 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     ends = ends[-n:].tolist()
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 18):
-        hashes = np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[at : at + (1 << 18)], ends[at : at + (1 << 18)], strict=True)], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    places = (zip(starts[at : at + (1 << 18)], ends[at : at + (1 << 18)], strict=True) for at in range(0, n, 1 << 18))
+    return majority(np.array([xxh64_intdigest(line[a:b], seed) for a, b in part], "<u8") for part in places)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -54,18 +63,21 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col), F.xxhash64(text_col).alias("digest"), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, digest long, fp long")
 
 
-def variant_masks(radius: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bits kept, bits flipped and block marks) of the variants that each fingerprint emits."""
-    half, odd = divmod(radius, 2)
-    width = BITS // blocks
-    wiped = [((1 << width) - 1) << (b * width) for b in range(blocks)] if odd else [0]
+def variant_masks(radius: int, blocks: int, wiped: int | None = None, flips: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bits kept, bits flipped and block marks) of the variants that each fingerprint emits: for any choice of `wiped`
+    blocks (one for an odd radius, else none) what is left of the fingerprint, with up to half of the differing bits
+    flipped that the best choice can leave, or up to `flips` bits."""
+    wiped = radius % 2 if wiped is None else wiped
+    left = radius - wiped * (radius // blocks) - min(wiped, radius % blocks)  # of bits spread evenly, the worst case
+    bounds = [b * BITS // blocks for b in range(blocks + 1)]
     keep, flip = [], []
-    for b, hole in enumerate(wiped):
+    for mark, chosen in enumerate(combinations(range(blocks), wiped)):
+        hole = sum((1 << bounds[b + 1]) - (1 << bounds[b]) for b in chosen)
         free = [j for j in range(BITS) if not hole >> j & 1]
-        for k in range(half + 1):
-            for chosen in combinations(free, k):
+        for k in range(((left + 1) // 2 if flips is None else flips) + 1):
+            for bits in combinations(free, k):
                 keep.append(~hole & (1 << BITS) - 1)
-                flip.append(sum(1 << j for j in chosen) | (b << (b * width) if odd else 0))
+                flip.append(sum(1 << j for j in bits) | (mark << bounds[chosen[0]] if chosen else 0))
     return np.array(keep, np.uint64), np.array(flip, np.uint64)
 
 
@@ -85,54 +97,80 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
-    """Verified links among rows sorted by key, as rows of two fingerprints."""
+def _across(links: list[tuple[int, int]], label: dict[int, int]) -> list[tuple[int, int]]:
+    """Those of the links that join what the labels leave apart."""
+    joined: dict[int, int] = {}
+
+    def root(x):
+        while joined.get(x, x) != x:
+            x = joined[x]
+        return x
+
+    out = []
+    for u, v in links:
+        a, b = root(label[int(u)]), root(label[int(v)])
+        if a != b:
+            joined[a] = b
+            out.append((u, v))
+    return out
+
+
+def _links(keys: np.ndarray, fps: np.ndarray, labels: np.ndarray, radius: int) -> np.ndarray:
+    """Verified links among rows sorted by key, as rows of two fingerprints; equal labels count as linked."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     two = starts[sizes == 2]
     a, b = fps[two], fps[two + 1]
-    good = (np.bitwise_count(a ^ b) <= radius) & (a != b)
+    good = (np.bitwise_count(a ^ b) <= radius) & (labels[two] != labels[two + 1])
     found = [np.stack([a[good], b[good]], axis=1)]
     for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        forest = _forest(np.unique(fps[s : s + n]), radius)
+        label = labels[s : s + n]
+        if (label == label[0]).all():
+            continue
+        forest = _across(_forest(np.unique(fps[s : s + n]), radius), dict(zip(fps[s : s + n].tolist(), label.tolist(), strict=True)))
         if forest:
             found.append(np.array(forest, np.uint64).reshape(-1, 2))
     both = np.concatenate(found)
     return np.unique(np.sort(both, axis=1), axis=0)
 
 
-def near_links(fps: DataFrame, *, radius: int = 3, blocks: int = 4) -> DataFrame:
+def near_links(fps: DataFrame, *, radius: int = 3, blocks: int = 4, wiped: int | None = None, flips: int | None = None) -> DataFrame:
     """(u, v) links that join every two fingerprints (column fp, distinct) within the radius, directly or through others
-    of their group. `blocks` sets how many bits an odd radius wipes: fewer blocks emit fewer, shorter keys."""
-    keep, flip = variant_masks(radius, blocks)
+    of their group. Of `blocks` blocks `wiped` at a time are wiped, one by default where the radius is odd, else none:
+    wider ones emit fewer, shorter keys. Fewer `flips` than the radius needs find some of the links. Where a column
+    component tells what is joined already, only links across components are given."""
+    keep, flip = variant_masks(radius, blocks, wiped, flips)
+    carried = ["fp", *(c for c in fps.columns if c == "component")]
 
     def emit(batches):
         for part in arrow_chunks(batches, 2048):
             fp = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             key = ((fp[:, None] & keep) | 0) ^ flip
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp, len(keep)).view(np.int64))], ["key", "fp"])
+            rest = [pa.array(np.repeat(c.to_numpy(zero_copy_only=False), len(keep))) for c in part.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *rest], ["key", *carried])
 
     def link(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last group, which may go on in the next batch
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of the last group, which may go on in the next batch
 
         def joined():
-            k, f = (np.concatenate(x) for x in zip(*held, strict=True))
+            k, f, c = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return as_batch(_links(k, f, radius))
+            return as_batch(_links(k, f, c, radius))
 
         for batch in batches:
-            k, f = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            k, f, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, len(carried)))
+            f = f.view(np.uint64)
             if not len(k):
                 continue
             first, last = (np.searchsorted(k, held[-1][0][-1], "right") if held else 0), np.searchsorted(k, k[-1])
             if first:
-                held.append((k[:first], f[:first]))
+                held.append((k[:first], f[:first], c[:first]))
             if first < len(k):
                 if held:
                     yield joined()
                 if first < last:
-                    yield as_batch(_links(k[first:last], f[first:last], radius))
-                held.append((k[last:], f[last:]))
+                    yield as_batch(_links(k[first:last], f[first:last], c[first:last], radius))
+                held.append((k[last:], f[last:], c[last:]))
         if held:
             yield joined()
         release()
@@ -142,7 +180,7 @@ def near_links(fps: DataFrame, *, radius: int = 3, blocks: int = 4) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["u", "v"])
 
     spark = fps.sparkSession
-    sent = fps.select("fp").mapInArrow(emit, "key long, fp long").repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
+    sent = fps.select(*carried).mapInArrow(emit, ", ".join(f"{c} long" for c in ["key", *carried])).repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
     return sent.mapInArrow(link, "u long, v long").distinct()
 
 
@@ -198,3 +236,17 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     again = stash(marked.filter("_stays").select(*names), "repeated-rows")
     one = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
     return alone.union(keyed.join(few(again, few_rows), names, "left_semi").withColumn("_n", one).filter("_n = 1").select("_row.*"))
+
+
+def near_components(fps: DataFrame, *, radius: int, blocks: int, wiped: int) -> DataFrame:
+    """(node, component) of the fingerprints (column fp, distinct) that links of `radius` bits or fewer join to others.
+
+    Variants without flips settle most links first; all variants then meet, and give only links across what is joined: a
+    dense cluster, which meets under every variant, leaves few links and not a forest for each variant."""
+    how = {"radius": radius, "blocks": blocks, "wiped": wiped}
+    with arrow_rows(fps.sparkSession, 10_000):
+        first = stash(near_links(fps, flips=0, **how), "wiped-links")
+        nodes = connected_components(first)
+        known = fps.join(few(nodes), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
+        more = stash(near_links(stash(known, "joined-fingerprints"), **how), "links")
+    return connected_components(first.union(more))
