@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massif.llm import binary_output, chat_format, decontaminate, language_id, line_quality, packing, simhash, token_counts, url_reputation, warc
+from massif.llm import binary_output, chat_format, decontaminate, filter_audit, language_id, line_quality, packing, simhash, suffix_tree, token_counts, url_reputation, vector_codes, warc
 from massif.plans.shared import fresh_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -83,6 +83,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return told.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tree, counts = suffix_tree.learn(docs.filter(~suffix_tree.held_out()).select("text"))
+    scored = suffix_tree.score(docs, tree, counts).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", suffix_tree.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_quality": op2_line_quality,
@@ -94,6 +110,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_chat_format": op10_chat_format,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_suffix_tree": op13_suffix_tree,
 }
 # Words are cut as the operator cuts them; windows of each length an item has are joined on their words.
 _OP1 = r"""
@@ -225,10 +244,63 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(told) AS turns_sha256
 FROM t
 """
 
+# Assignments to entries in three passes, of which the first two are followed by new entries.
+_OP11_PASS = """near{i} AS MATERIALIZED (
+  SELECT vec_id, rid, p, min(k) AS k, min(far) AS far
+  FROM (SELECT *, min(far) OVER (PARTITION BY rid, p) AS best
+    FROM (SELECT v.vec_id, v.rid, v.p, b.k, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far FROM part v JOIN book{i} b ON v.p = b.p))
+  WHERE far = best GROUP BY vec_id, rid, p)"""
+_OP11_BOOK = """book{j} AS MATERIALIZED (
+  SELECT b.p, b.k, CASE WHEN m.n IS NULL THEN b.x ELSE list_transform(m.s, lambda t: CAST(floor(t / m.n) AS BIGINT)) END AS x
+  FROM book{i} b LEFT JOIN (SELECT n.p, n.k, count(*) AS n, [sum(v.x[1]), sum(v.x[2]), sum(v.x[3]), sum(v.x[4])] AS s
+    FROM near{i} n JOIN part v ON n.rid = v.rid AND n.p = v.p GROUP BY n.p, n.k) m ON b.p = m.p AND b.k = m.k)"""
+_OP11 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rid, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+part AS MATERIALIZED (SELECT vec_id, rid, p, list_slice(q, 4 * p + 1, 4 * p + 4) AS x FROM kept, (SELECT unnest(range(16)) AS p)),
+book0 AS MATERIALIZED (SELECT p, rid - 1 AS k, x FROM part WHERE rid <= 64),
+{_OP11_PASS.format(i=0)}, {_OP11_BOOK.format(i=0, j=1)}, {_OP11_PASS.format(i=1)}, {_OP11_BOOK.format(i=1, j=2)}, {_OP11_PASS.format(i=2)},
+coded AS (
+  SELECT rid, string_agg(lpad(lower(to_hex(k)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM near2 GROUP BY rid),
+digest AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, k, i)) AS h FROM (SELECT p, k, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM book2))
+SELECT kept.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded ON kept.rid = coded.rid, digest
+"""
+
+# Every order is applied to every document; copies are found by text.
+_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS MATERIALIZED (
+  SELECT part, doc_id, [CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+      CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+      CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END] AS fails
+  FROM d),
+g AS MATERIALIZED (
+  SELECT part, coalesce(array_to_string(fails, ''), '') AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM f LEFT JOIN (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id) l ON f.doc_id = l.doc_id),
+s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM s a, s b, s c, s d, s e
+  WHERE a.c NOT IN (b.c, c.c, d.c, e.c) AND b.c NOT IN (c.c, d.c, e.c) AND c.c NOT IN (d.c, e.c) AND d.c <> e.c),
+st AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+r AS (
+  SELECT part, filter_order, step, own, fails, good, toxic, contains(fails, own) AS hit,
+    before <> '' AND len(list_intersect(string_split(before, ''), string_split(fails, ''))) > 0 AS gone
+  FROM g, st),
+c AS (
+  SELECT part, filter_order, step, own, count(*) FILTER (WHERE NOT hit AND NOT gone) AS kept, count(*) FILTER (WHERE hit AND NOT gone) AS removed, count(*) FILTER (WHERE hit AND gone) AS redundant,
+    count(*) FILTER (WHERE fails = own) AS unique_fails, count(*) FILTER (WHERE hit AND NOT gone AND good = 1) AS good_lost, count(*) FILTER (WHERE hit AND NOT gone AND toxic = 1) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM c
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": _OP1,
     "op2_line_quality": _OP2,
     "op4_warc": _OP4,
     "op7_url_reputation": _OP7,
     "op10_chat_format": _OP10,
+    "op11_vector_codes": _OP11,
+    "op12_filter_audit": _OP12,
 }
