@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from massif.llm.tokens import arrow_chunks, encoder, release, small_batches
 from massif.llm.warc import MANIFEST, _filesystem, commit
-from massif.plans.shared import fresh_dir, stash
+from massif.plans.shared import fresh_dir, qualified, stash
 
 BLOCK_BYTES = 24 << 20  # text that makes a block, on average: some six million tokens
 MOST_TASKS = 1 << 14  # a task handles several blocks, one after another, where there are more
@@ -110,7 +110,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
     so it is its end id alone; null ids and repeated rows are kept; an empty table gives an empty manifest; columns other
     than the two are left out. Sequences are packed within blocks; each leaves one or two that aren't full. Rows equal in
     id and text share a block; one that they make four times too long is packed in parts, in memory one at a time."""
-    end = int(end_id).to_bytes(4, "little")
+    end, path = int(end_id).to_bytes(4, "little"), qualified(docs.sparkSession, path)
     small_batches(docs.sparkSession)
     slim = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
     total = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
@@ -171,6 +171,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
 def read_packed(spark: SparkSession, path: str, *, id_type: str = "long", keep_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every segment, out of the matrices of a
     committed output. Lengths, positions and padding are checked against each other."""
+    path = qualified(spark, path)
     manifest = spark.read.schema("shard int, file string, records long, bytes long").parquet(f"{path}/manifest").filter("file LIKE '%.segments.parquet'")
     schema = f"id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<long>" * keep_ids
 

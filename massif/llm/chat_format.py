@@ -112,6 +112,7 @@ def log_of_table(table: DataFrame) -> DataFrame:
 
 
 def format_log(events: DataFrame) -> DataFrame:
-    """reconstruct() and render(). Repeated rows are messages of their own; an empty log gives an empty result; columns
-    other than those of an event are not used."""
+    """reconstruct() and render(). Repeated rows are messages of their own; very long texts are kept whole, and a conversation
+    is put together in the memory of one task; an empty log gives an empty result; columns other than those of an event
+    are not used."""
     return render(reconstruct(events))

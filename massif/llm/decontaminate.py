@@ -217,7 +217,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
                     ["item", "item_text", "item_word", "n_words", id_col, "start_word"],
                 )
 
-        found = docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, f"item string, item_text long, item_word long, n_words long, {id_col} {kind}, start_word long")
+        found = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, f"item string, item_text long, item_word long, n_words long, `{id_col}` {kind}, start_word long")
         found = stash(found, "shard-matches")
         out = found if out is None else out.union(found)
     most = out.groupBy(F.col("item_text").alias("_t"), F.col("item_word").alias("_w")).agg(F.max("n_words").alias("_n"))
@@ -298,7 +298,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None
 
     A window is `window` consecutive words of an item; an item of fewer words is one window. Null texts have no words;
     repeated rows are judged each; repeated items and texts of one item id count once; without documents or items nothing
-    is hit. A column of `docs` named like an output gives way to it."""
+    is hit. A very long text is a shard of its own, searched whole. A column of `docs` named like an output gives way to
+    it."""
     columns = [c for c in (keep or docs.columns) if c not in OUTPUTS]
     found, carried = docs.drop(*OUTPUTS - {text_col}), [*dict.fromkeys([*columns, text_col])]
     held = None

@@ -111,7 +111,8 @@ def judge(docs: DataFrame, *, text_col: str = "text", host_col: str = "source",
 
     A document is kept unless it has fewer than 50 words, more than half of them in repeated windows, or fewer than
     `min_left` of them left when common lines are removed. A null text has no words and fails; a null host is the empty
-    host, as are all where there is no such column; repeated rows are judged each; an empty table gives an empty result. A
+    host, as are all where there is no such column; very long texts are judged whole, each in the memory of one task;
+    repeated rows are judged each; an empty table gives an empty result. A
     column of `docs` named like an output gives way to it; all others are kept, whatever their names.
 
     Up to `few_texts` texts with removed lines (they are counted) are broadcast, so that documents are not shuffled;

@@ -94,7 +94,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, size: i
     """Pieces of whole texts: ids, then `end_id`. Only documents longer than `size` are cut, into pieces of `size` of
     which the first may be shorter; pieces joined in order give the document's ids again. Null text counts as empty."""
     ids_type = docs.schema[id_col].dataType
-    schema = f"{id_col} {ids_type.simpleString()}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
+    schema = f"`{id_col}` {ids_type.simpleString()}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
     end = int(end_id).to_bytes(4, "little")
     small_batches(docs.sparkSession)
 
@@ -113,7 +113,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, size: i
                 arrays.append(pa.array([np.frombuffer(x, "<u4").astype("i4") for x in raw], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, cap: Capacity = Capacity(), *, id_col: str = "doc_id") -> DataFrame:

@@ -186,7 +186,7 @@ d AS (
     max(page_id) OVER (PARTITION BY x) AS last, row_number() OVER (PARTITION BY x, page_id) AS copy
   FROM h)
 SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, digest AS payload_digest,
-  CASE WHEN page_id = last AND copy = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last AND copy = 1 THEN NULL ELSE last END AS refers_to
+  CASE WHEN last IS NULL OR page_id = last AND copy = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last AND copy = 1 THEN NULL ELSE last END AS refers_to
 FROM d
 """
 

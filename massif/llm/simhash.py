@@ -60,7 +60,21 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.xxhash64(text_col).alias("digest"), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, digest long, fp long")
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return docs.select(id_, F.xxhash64(text).alias("digest"), text).mapInArrow(run, f"`{id_col}` {kind}, digest long, fp long")
+
+
+OUTPUTS = ("digest", "fp", "component", "component_id")
+
+
+def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text): names that no output has."""
+    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+
+
+def under_name(found: DataFrame, id_col: str) -> DataFrame:
+    """A result under the caller's name of the id, which stays `_id` where an output has that name."""
+    return found if id_col in OUTPUTS else found.withColumnRenamed("_id", id_col)
 
 
 def variant_masks(radius: int, blocks: int, wiped: int | None = None, flips: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -188,11 +202,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, digest, fp, component, component_id) of each row: components are joined by links of `radius` differing bits or
     fewer; component_id is the smallest id in one, component tells them apart even where ids repeat.
 
-    Null texts and texts without words have fingerprint zero and are linked like any other. Rows with a null id take
-    part; a component of such rows alone has a null component_id. Repeated rows are all kept; an empty table gives an
-    empty result."""
-    prints = stash(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
-    distinct = stash(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct-fingerprints")
+    Null texts and texts without words have fingerprint zero and are linked like any other; very long texts are whole,
+    their shingles counted a stretch at a time. Rows with a null id take part; a component of such rows alone has a null
+    component_id. Repeated rows are all kept; an empty table gives an empty result. The id keeps its name, unless an
+    output has it: then it is `_id`."""
+    prints = stash(fingerprints(plain(docs, id_col, text_col), id_col="_id", text_col="_text", words=words), "fingerprints")
+    distinct = stash(prints.groupBy("fp").agg(F.min("_id").alias("first")), "distinct-fingerprints")
     with arrow_rows(docs.sparkSession, 10_000):
         links = stash(near_links(distinct, radius=radius, blocks=blocks), "links")
     nodes = connected_components(links).join(distinct, F.col("node") == F.col("fp"))
@@ -200,7 +215,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked = nodes.select("node", "component").join(named, "component").select("node", "component", "component_id")
     known = distinct.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
     known = stash(known, "components")  # read by an exchange of its own, so that the rows of one fingerprint can be split
-    return prints.join(known, F.col("fp") == F.col("_fp")).drop("_fp")
+    return under_name(prints.join(known, F.col("fp") == F.col("_fp")).drop("_fp"), id_col)
 
 
 FEW_ROWS = 1 << 20  # of three longs at most: such a side is broadcast, whatever Spark expects of its size
@@ -217,21 +232,21 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Who stays is settled on ids and digests; texts are read again and only lose the rows that go. Up to `few_rows` of
     these (their number is counted) reach the readers by broadcast and no text is shuffled, beyond that by a merge join.
-    Only rows that repeat are numbered. A null id is an id of its own, the first of all; an empty table gives an empty
-    result; columns may have any names."""
-    found = near(docs, id_col=id_col, text_col=text_col, **how)
+    Only rows that repeat are numbered. A null id is an id of its own, the first of all; very long texts are texts like
+    any other; an empty table gives an empty result; columns may have any names."""
+    found = near(plain(docs, id_col, text_col), id_col="_id", text_col="_text", **how)
     empty = F.lit("" if dict(docs.dtypes)[id_col] == "string" else 0).cast(docs.schema[id_col].dataType)
 
-    def keys(digest: Column) -> list[Column]:
-        return [F.col(f"`{id_col}`").isNull().alias("_none"), F.coalesce(F.col(f"`{id_col}`"), empty).alias("_id"), digest.alias("_digest")]
+    def keys(id_: Column, digest: Column) -> list[Column]:
+        return [id_.isNull().alias("_none"), F.coalesce(id_, empty).alias("_id"), digest.alias("_digest")]
 
     names = ["_none", "_id", "_digest"]
-    rows = found.select(F.col("component").alias("_c"), F.struct(*keys(F.col("digest"))).alias("_r"))
+    rows = found.select(F.col("component").alias("_c"), F.struct(*keys(F.col("_id"), F.col("digest"))).alias("_r"))
     rows = stash(rows.groupBy("_c", "_r").agg(F.count(F.lit(1)).alias("_n")), "component-rows")
     first = stash(rows.groupBy("_c").agg(F.min("_r").alias("_first")), "first-rows")
     marked = rows.join(first, "_c").filter((F.col("_r") != F.col("_first")) | (F.col("_n") > 1))
     marked = stash(marked.select("_r.*", (F.col("_r") == F.col("_first")).alias("_stays")), "marked-rows")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys(F.xxhash64(text_col)))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))))
     alone = keyed.join(few(marked.select(*names), few_rows), names, "left_anti").select("_row.*")
     again = stash(marked.filter("_stays").select(*names), "repeated-rows")
     one = F.row_number().over(Window.partitionBy(*names).orderBy(*names))

@@ -97,8 +97,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: dict[str, str], *, th
     and the lower bound of its posterior.
 
     `labels` (doc_id, quality, toxic) label the pages of the same id; a page is bad if its quality is 0 or it is toxic;
-    nulls there count as good, null ids label nothing. Repeated pages are judged each, repeated labels count each; no
-    pages give no rows."""
+    nulls there count as good, null ids label nothing. Repeated pages are judged each, repeated labels count each; urls of
+    any length are read whole; no pages give no rows."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     bad = ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")

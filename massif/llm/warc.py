@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massif.llm.tokens import release, small_batches
-from massif.plans.shared import fresh_dir, stash
+from massif.plans.shared import arrow_uri, fresh_dir, qualified, stash
 
 ROLL_BYTES = 64 << 20  # compressed bytes at which a file ends
 SHARD_BYTES = 32 << 20  # payload bytes that one task writes, about,
@@ -31,8 +31,9 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: th
 
 
 def _filesystem(path: str):
-    """A file system of any kind Arrow knows (file, hdfs, s3, gs), and the path in it."""
-    return pafs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (pafs.LocalFileSystem(), path)
+    """A file system of any kind Arrow knows (file, hdfs, s3, gs), and the path in it. The path must be qualified(): without
+    a scheme it could be taken for a folder of this machine. An unknown scheme is an error."""
+    return pafs.FileSystem.from_uri(arrow_uri(path))
 
 
 def base32_sha1(data: bytes) -> str:
@@ -138,25 +139,30 @@ def shard_of(key: Column, digest: Column, starts: list[tuple[int, int]]) -> Colu
 
 
 def revisits(rows: DataFrame, least_bytes: int) -> DataFrame:
-    """(key, digest, refers_to) of rows whose payload, of `least_bytes` or more, a row of a larger key has as well: the
-    largest is the response. Only keys and digests are shuffled, and summed before they are joined."""
+    """(key, digest, refers_to) of rows whose payload, of `least_bytes` or more, a row of a larger key has as well, null
+    keys being less than all others: the largest is the response. Only keys and digests are shuffled, and summed before
+    they are joined."""
     keyed = rows.select("key", "digest", F.octet_length("payload").alias("size")).filter(F.col("size") >= least_bytes)
     largest = keyed.groupBy("digest").agg(F.max("key").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     largest = stash(largest, "responses")  # read by an exchange of its own, so that the rows of one digest can be split
-    return keyed.join(largest, "digest").filter(F.col("key") < F.col("refers_to")).select("key", "digest", "refers_to").distinct()
+    return keyed.join(largest, "digest").filter(F.col("refers_to").isNotNull() & (F.col("key").isNull() | (F.col("key") < F.col("refers_to")))).select("key", "digest", "refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, path: str, *, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write a record per row below `path` and return the manifest (shard, file, records, bytes).
 
     Records go by key, then payload digest; a file ends where its compressed size reaches `roll_bytes` or its shard ends.
-    Null payloads count as empty, a null key comes first and is never a revisit. Of rows equal in key and payload the
-    first is the response or the revisit that its payload calls for; the others revisit that response, or their own first
-    row. No rows make no files. `path` must be one that Arrow can write and all executors share."""
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
+    Null payloads count as empty. A null key comes first and is less than all others: it revisits any key that has its
+    payload; rows that only have null keys are responses. Of rows equal in key and payload the first is the response or
+    the revisit that its payload calls for; the others revisit that response, or their own first row. A payload of any
+    length is one record, held whole by the task that writes it. No rows make no files. Columns may have any names; only
+    key, url and payload are read. `path` must be one that Arrow can write and all executors share; without a scheme it is
+    of the session's default file system."""
+    path = qualified(pages.sparkSession, path)
+    payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
     if dict(pages.dtypes)[payload_col] != "binary":
         payload = F.encode(payload, "UTF-8")
-    rows = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(f"`{key_col}`").cast("long").alias("key"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     spark, starts = pages.sparkSession, key_ranges(rows, shard_bytes)
     small_batches(spark)
@@ -262,6 +268,7 @@ def parse(data: bytes) -> dict:
 def read_warc(spark: SparkSession, path: str, *, payloads: bool = False) -> DataFrame:
     """(key, url, record_type, payload_bytes, payload_digest, refers_to[, payload]) of every record of a committed
     archive; files are streamed, one record in memory at a time."""
+    path = qualified(spark, path)
     manifest = spark.read.schema("shard int, file string, records long, bytes long").parquet(f"{path}/manifest")
     names = ["key", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"] + ["payload"] * payloads
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()] + [pa.binary()] * payloads

@@ -23,12 +23,23 @@ def test_round_trip_with_revisits(spark, tmp_path):
     got = warc.read_warc(spark, path, payloads=True).collect()
     assert len(got) == len(PAGES)
     by = {(r.key, r.record_type, r.refers_to) for r in got}
-    assert {(9, "response", None), (9, "revisit", 9), (5, "revisit", 9), (2, "revisit", 9), (4, "response", None), (3, "revisit", 4), (1, "response", None), (None, "response", None)} == by - {(7, "response", None)}
+    assert {(9, "response", None), (9, "revisit", 9), (5, "revisit", 9), (2, "revisit", 9), (4, "response", None), (3, "revisit", 4), (1, "response", None), (None, "revisit", 9)} == by - {(7, "response", None)}
     assert {r.payload_digest for r in got if r.key in (2, 5, 9)} == {warc.base32_sha1(b"same")} and {r.payload_bytes for r in got if r.key == 7} == {10000}
     assert bytes(next(r.payload for r in got if r.key == 7)).decode() == "é" * 5000
     assert next(r.url for r in got if r.key == 5) == "http://b/\r\nX: y"
 
 
+def test_null_keys_revisit_the_largest(spark, tmp_path):
+    rows = [(None, "u", "same"), (3, "u", "same"), (5, "u", "same"), (None, "u", "alone"), (None, "v", "alone"), (4, "u", None), (None, "w", "")]
+    pages = spark.createDataFrame(rows, "`page id` long, url string, `the html` string")
+    for path in (str(tmp_path / "n"), (tmp_path / "m").as_uri()):
+        warc.write_warc(pages, path, key_col="page id", payload_col="the html")
+        got = sorted(((r.key or 0, r.record_type, r.refers_to or 0) for r in warc.read_warc(spark, path).collect()))
+        assert got == [(0, "response", 0), (0, "response", 0), (0, "revisit", 4), (0, "revisit", 5), (3, "revisit", 5), (4, "response", 0), (5, "response", 0)]
+    with pytest.raises(Exception, match="(?i)scheme|filesystem"):
+        warc._filesystem("nowhere://x/y")
+
+
 def test_files_are_deterministic_rolled_and_sorted(spark, tmp_path):
     rows = [(i, f"http://h/{i}", hashlib.sha256(str(i).encode()).hexdigest() * 30) for i in range(300)]
     out = []
