@@ -72,10 +72,16 @@ def build_levels(inputs: DataFrame, space: octree.Space, finest: int, coarsest:
     ax..cz): leaves on the finest level are their own triangles, each coarser node is made of its children's, simplified
     to `cells` steps along a node, with leaves that are stored on its level.
 
-    A level is stored before the next is made. With `path`, levels are kept there and those already whole aren't made
-    again; a request to stop is heeded between levels."""
+    A level is stored before the next is made. With `path`, levels are kept there with a record of the inputs and of how
+    they are built; levels that are whole aren't made again if the record is the same, else all there are made anew. A
+    request to stop is heeded between levels."""
     spark = inputs.sparkSession
     below, out = None, None
+    if path:
+        record = store.input_record(inputs.select("level", "index", *[f"{k}{p}" for k in "abc" for p in "xyz"]), space=space, finest=finest, size=size, cells=cells, mode=mode)
+        if not store.matches_record(spark, path, record):
+            store.delete(spark, path)
+            store.write_record(spark, path, record)
     for level in range(finest, coarsest - 1, -1):
         if stop:
             stop.check()

@@ -10,7 +10,7 @@ from massif.plans import fixtures as fx
 from massif.plans.queries.rasters import HALF
 from massif.plans.registry import query, rounded
 from massif.plans.shared import fresh_dir, stash
-from massif.sources import raster_store
+from massif.sources import raster_store, store
 
 PT, PX = f"WITH {fx.GROWN_PT}", f"WITH {fx.GROWN_PX}"
 SMALL = f"WITH {fx.PX}"
@@ -72,7 +72,7 @@ def grown_mesh(spark, sf):
     return mesh.meshify(fx.grown_pixels(spark, sf), width=256).select("a", "b", "c")
 
 
-@query("grown_boundary_edges", f"{PX}, {_MESH}, {fx.HALF_EDGES} SELECT u, v FROM he WHERE NOT EXISTS (SELECT 1 FROM he r WHERE r.u = he.v AND r.v = he.u)")
+@query("grown_boundary_edges", f"{PX}, {_MESH}, {fx.HALF_EDGES.replace('he AS (', 'he AS MATERIALIZED (', 1)}, net AS (SELECT least(u, v) AS p, greatest(u, v) AS q, sum(CASE WHEN u < v THEN 1 ELSE -1 END) AS n FROM he GROUP BY 1, 2) SELECT CASE WHEN n > 0 THEN p ELSE q END AS u, CASE WHEN n > 0 THEN q ELSE p END AS v FROM net WHERE n <> 0")
 def _(spark, sf):
     return mesh.boundary_edges(grown_mesh(spark, sf))
 
@@ -243,3 +243,13 @@ def _(spark, sf):
     return raster_store.mark_complete(t)
 
 
+@query("resume_other_input", f"{PX} SELECT CAST(px // 2 AS BIGINT) AS px, CAST(py // 2 AS BIGINT) AS py, max(v) + 1 AS v FROM px GROUP BY 1, 2")
+def _(spark, sf):
+    """Attempts left by other pixels, and one without a manifest, aren't gone on with."""
+    final, pixels = fresh_dir(spark, "raster-store"), fx.grown_pixels(spark, sf)
+    attempt = raster_store.create(spark, final, _OPTIONS)
+    raster_store.write_level(pixels, attempt, _OPTIONS, 3)
+    store.write_record(spark, attempt, raster_store.inputs(pixels, _OPTIONS))
+    raster_store.write_level(pixels, store.create_attempt(final), _OPTIONS, 3)
+    raster_store.build(pixels.withColumn("v", F.col("v") + 1), final, _OPTIONS)
+    return raster_store.read_level(spark, final, _OPTIONS, 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,6 +38,17 @@ def stash(df: DataFrame, name: str, *, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark takes it: one without is of the file system that the session names by default."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def arrow_uri(path: str) -> str:
+    """A path with a scheme as Arrow takes it."""
+    return re.sub(r"^file:/(?!/)", "file:///", re.sub(r"^s3[an]://", "s3://", path))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file system; nothing happens if it is absent."""
     jvm = spark.sparkContext._jvm

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import json
-import re
 import struct
 import uuid
 
@@ -14,6 +13,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massif.plans.shared import arrow_uri, qualified
+
 MESH = "path string, mesh int, kind string, i long, x double, y double, z double, a long, b long, c long"
 _COMPONENTS = {5120: "i1", 5121: "u1", 5122: "<i2", 5123: "<u2", 5125: "<u4", 5126: "<f4"}  # fixed values: glTF component types
 _WIDTH = {"SCALAR": 1, "VEC2": 2, "VEC3": 3, "VEC4": 4}
@@ -44,7 +45,7 @@ def byte_range(spark: SparkSession, path: str, offset: int, length: int) -> Data
         for pdf in frames:
             out = []
             for name in pdf["path"]:
-                fs, at = pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", name))
+                fs, at = pafs.FileSystem.from_uri(arrow_uri(name))
                 with fs.open_input_file(at) as f:
                     f.seek(min(offset, f.size()))
                     out.append(f.read(length))
@@ -122,12 +123,14 @@ def write_meshes(vertices: DataFrame, triangles: DataFrame, path: str) -> DataFr
     rows = vertices.select("name", F.lit(0).alias("kind"), "vid", "x", "y", "z", *[F.lit(0).cast("long").alias(k) for k in "abc"])
     rows = rows.unionByName(triangles.select("name", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("vid"), *[F.lit(0.0).alias(p) for p in "xyz"], "a", "b", "c"))
 
+    place = arrow_uri(qualified(vertices.sparkSession, path))
+
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         v, t = (pdf[pdf["kind"] == k] for k in (0, 1))
         v = v.sort_values("vid")
         tri = np.searchsorted(v["vid"].to_numpy(), t[["a", "b", "c"]].to_numpy())
         name = str(pdf["name"].iloc[0])
-        fs, root = pafs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (pafs.LocalFileSystem(), path)
+        fs, root = pafs.FileSystem.from_uri(place)
         fs.create_dir(root, recursive=True)
         part = f"{root}/.{name}.{uuid.uuid4().hex}"
         with fs.open_output_stream(part, compression=None) as out:

@@ -67,12 +67,23 @@ def write_level(pixels: DataFrame, attempt: str, options: Options, zoom: int) ->
     rows.repartitionByRange("ty", "tx").sortWithinPartitions("ty", "tx").write.mode("error").parquet(f"{attempt}/index/zoom={zoom}")
 
 
+def inputs(pixels: DataFrame, options: Options, reducer=raster.reduce_max) -> dict:
+    """The record of what a store is made from: pixels, options and the reducer's name."""
+    return store.input_record(pixels.select("px", "py", "v"), schema=SCHEMA, **asdict(options), reducer=f"{reducer.__module__}.{reducer.__qualname__}")
+
+
 def build(pixels: DataFrame, final: str, options: Options, *, reducer=raster.reduce_max) -> None:
-    """A published store of pixels and of all coarser levels, each reduced from the stored one below it. Levels that an
-    attempt holds already aren't made again."""
+    """A published store of pixels and of all coarser levels, each reduced from the stored one below it.
+
+    An attempt left behind is gone on with if its record tells that it was made from the same pixels in the same way; its
+    whole levels aren't made again. Others, those without a record among them, are passed over, and go once the store is
+    published."""
     spark = pixels.sparkSession
-    left = store.attempts(spark, final)
-    attempt = left[-1] if left and manifest(spark, left[-1]) == options else create(spark, final, options)
+    record = inputs(pixels, options, reducer)
+    attempt = next((a for a in reversed(store.attempts(spark, final)) if store.matches_record(spark, a, record)), None)
+    if attempt is None:
+        attempt = create(spark, final, options)
+        store.write_record(spark, attempt, record)
     for zoom in range(options.zoom, -1, -1):
         if not store.exists(spark, f"{attempt}/index/zoom={zoom}/_SUCCESS"):
             for part in ("tiles", "index"):

@@ -76,6 +76,14 @@ def save_nodes(nodes: DataFrame, attempt: str, *, stored: DataFrame | None = Non
     nodes.repartitionByRange("level", "index").sortWithinPartitions("level", "index").write.mode("error").parquet(f"{attempt}/nodes")
 
 
+def input_record(source: DataFrame, **parameters) -> dict:
+    """What a snapshot is made from: the rows of its source, as their number and a sum of their hashes, whatever their
+    order, the source's columns and the parameters."""
+    cells = [F.col(f"`{c}`") for c in source.columns]
+    found = source.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.xxhash64(*cells, F.lit(k)).cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"h{k}") for k in (0, 1)]).first()
+    return {"rows": found["n"], "hashes": [found["h0"], found["h1"]], "columns": source.dtypes, "parameters": {k: v if isinstance(v, int | float | str | None) else repr(v) for k, v in parameters.items()}}
+
+
 def write_record(spark: SparkSession, attempt: str, record: dict) -> None:
     """Store the inputs that a snapshot depends on."""
     spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "record string").coalesce(1).write.mode("overwrite").text(f"{attempt}/inputs")
@@ -83,7 +91,7 @@ def write_record(spark: SparkSession, attempt: str, record: dict) -> None:
 
 def matches_record(spark: SparkSession, snapshot: str, record: dict) -> bool:
     """Whether a snapshot was made from equal inputs, so that its nodes can be used again."""
-    return exists(spark, f"{snapshot}/inputs") and spark.read.text(f"{snapshot}/inputs").first()[0] == json.dumps(record, sort_keys=True)
+    return exists(spark, f"{snapshot}/inputs/_SUCCESS") and spark.read.text(f"{snapshot}/inputs").first()[0] == json.dumps(record, sort_keys=True)
 
 
 def unfinished(work: DataFrame, done: DataFrame) -> DataFrame:

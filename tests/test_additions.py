@@ -34,6 +34,10 @@ def test_builds_stop_between_levels_and_go_on(spark, tmp_path):
     whole = build.build_levels(t, space, 2, 0, path=str(tmp_path / "b")).groupBy("level").agg(F.sum("n")).collect()
     assert len(whole) == 3 and all(p.stat().st_mtime_ns == m for p, m in before.items())
     assert set(progress(spark)) == {"done", "running", "all"}
+    moved = t.withColumns({f"{k}z": F.col(f"{k}z") + 2 for k in "abc"})
+    assert build.build_levels(moved, space, 2, 1, path=str(tmp_path / "b")).agg(F.min("lo_z")).first()[0] >= 2  # other inputs, other levels
+    other = build.build_levels(moved, space, 2, 1, size=1, path=str(tmp_path / "b")).filter("level = 2")
+    assert other.agg(F.max("n")).first()[0] == 1  # and another way to build them
 
 
 def test_png_filters_are_undone():
@@ -117,12 +121,28 @@ def test_meshes_are_placed_by_their_nodes():
     assert np.allclose(found[1][0], np.array([[10, 2, 0], [8, 0, 0], [10, 0, 2]]) + [0, 5, 0], atol=1e-6) and np.allclose(found[0][0], at)
 
 
+def test_raster_stores_are_not_made_of_what_other_inputs_left(spark, tmp_path):
+    pixels = spark.range(100).select((F.col("id") % 10).alias("px"), F.floor(F.col("id") / 10).alias("py"), F.lit(1).cast("long").alias("v"))
+    final, o = str(tmp_path / "store"), raster_store.Options(tile=8, subtile=4, zoom=1)
+    attempt = raster_store.create(spark, final, o)
+    raster_store.write_level(pixels, attempt, o, 1)
+    store.write_record(spark, attempt, raster_store.inputs(pixels, o))
+    raster_store.write_level(pixels, store.create_attempt(final), o, 1)  # without manifest or record
+    raster_store.build(pixels.withColumn("v", F.lit(2).cast("long")), final, o)
+    assert [r.v for r in raster_store.read_level(spark, final, o, 1).select("v").distinct().collect()] == [2] and store.attempts(spark, final) == []
+    same = raster_store.inputs(pixels.repartition(3), o)
+    assert same == raster_store.inputs(pixels, o) and same != raster_store.inputs(pixels.union(pixels.limit(1)), o)
+
+
 def test_raster_stores_check_hashes_and_resume(spark, tmp_path):
     pixels = spark.range(400).select((F.col("id") % 20).alias("px"), F.floor(F.col("id") / 20).alias("py"), (F.col("id") * 7 % 50).alias("v"))
     final, o = str(tmp_path / "store"), raster_store.Options(tile=8, subtile=4, zoom=1)
     attempt = raster_store.create(spark, final, o)
     raster_store.write_level(pixels, attempt, o, 1)
-    raster_store.build(pixels.limit(0), final, o)  # the stored level is used again, so nothing of the empty table shows
+    store.write_record(spark, attempt, raster_store.inputs(pixels, o))
+    made = spark.read.parquet(f"{attempt}/index/zoom=1").inputFiles()
+    raster_store.build(pixels, final, o)  # the stored level is used again
+    assert [f.rsplit("/", 1)[1] for f in spark.read.parquet(f"{final}/index/zoom=1").inputFiles()] == [f.rsplit("/", 1)[1] for f in made]
     assert raster_store.read_level(spark, final, o, 1).count() == 400 and raster_store.read_level(spark, final, o, 0).count() == 100
     assert raster_store.read_region(spark, final, 1, 7, 3, 9, 5).count() == 4 and store.attempts(spark, final) == []
     assert raster_store.read_tile(spark, final, 1, 0, 0).count() == 64
