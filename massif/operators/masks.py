@@ -194,7 +194,12 @@ def node_content(nodes: DataFrame, keys: DataFrame, space: octree.Space) -> Data
     of the nearest stored ancestor clipped to the key's cell."""
     found = spatial.nearest_ancestor(keys.select("level", "index"), nodes.select("level", "index").distinct()).filter("found_level is not null")
     n = nodes.select(F.col("level").alias("found_level"), F.col("index").alias("found_index"), "id", "polygon")
-    rows = found.join(n, ["found_level", "found_index"])
+    return in_cells(found.join(n, ["found_level", "found_index"]), space)
+
+
+def in_cells(rows: DataFrame, space: octree.Space) -> DataFrame:
+    """(level, index, id, polygon) of rows (level, index, found_level, id, polygon): polygons that come from a node above the
+    key are clipped to the key's cell."""
     b = octree.cell_bounds(space, F.col("level"), F.col("index"))
     unit = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
     walls = [F.struct(*[F.lit(s * c).alias(m) for c, m in zip(u, ("nx", "ny", "nz"), strict=True)], (s * b[i + 3 * (s < 0)]).alias("d")) for s in (1.0, -1.0) for i, u in enumerate(unit)]

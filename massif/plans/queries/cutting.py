@@ -16,13 +16,15 @@ from massif.plans.shared import fresh_dir, stash
 from massif.sources import shapes
 
 PT = f"WITH {fx.PT}"
-_SIDES = [(p, q) for _, _, _, pts in _RINGS for p, q in zip(pts, pts[1:] + pts[:1], strict=True)]
+_SIDES = [(c, p, q) for c, _, _, pts in _RINGS for p, q in zip(pts, pts[1:] + pts[:1], strict=True)]
 
 
-def _meets(lo_x: str, lo_y: str, hi_x: str, hi_y: str) -> str:
-    """Whether a side of a ring meets a box."""
+def _meets(lo_x: str, lo_y: str, hi_x: str, hi_y: str, component: int | None = None) -> str:
+    """Whether a side of a ring, or of one component's, meets a box."""
     out = []
-    for (x1, y1), (x2, y2) in _SIDES:
+    for c, (x1, y1), (x2, y2) in _SIDES:
+        if component not in (None, c):
+            continue
         lows, highs, stays = ["0.0::DOUBLE"], ["1.0::DOUBLE"], []
         for a, b, lo, hi in ((x1, x2, lo_x, hi_x), (y1, y2, lo_y, hi_y)):
             if a == b:
