@@ -123,14 +123,17 @@ def _dealt(plan: DataFrame, nodes_per_part: int) -> DataFrame:
     return plan.withColumn("part", F.when(F.col("action") != "link", part))
 
 
-def _written(spark: SparkSession, work: DataFrame, indexes: dict[str, DataFrame], pieces: DataFrame, space: octree.Space, cell: float) -> DataFrame:
-    """Polygons (level, index, id, polygon) of the keys of a part."""
+def _written(spark: SparkSession, work: DataFrame, kinds: set[tuple[str, str]], indexes: dict[str, DataFrame], pieces: DataFrame, space: octree.Space, cell: float) -> DataFrame:
+    """Polygons (level, index, id, polygon) of the keys of a part, which has rows of these sides and actions."""
     out = []
     for side, index in indexes.items():
+        actions = sorted(a for s, a in kinds if s == side)
+        if not actions:
+            continue
         own = work.filter(F.col("side") == side).select(*KEY, "action", "found_level", "found_index")
         wanted = index.join(own.select(F.col("found_level").alias("level"), F.col("found_index").alias("index")).distinct(), list(KEY), "left_semi")
         content = read_content(spark, wanted).select(F.col("level").alias("found_level"), F.col("index").alias("found_index"), "id", "polygon")
-        for action in ("clip", "cut"):
+        for action in actions:
             rows = masks.in_cells(own.filter(F.col("action") == action).join(content, ["found_level", "found_index"]), space)
             if action == "cut":
                 rows = stash(rows.withColumn("id", F.struct("level", "index", "id")), "merge-mixed")
@@ -168,13 +171,16 @@ def merge_stores(
         _save(_dealt(stash(plan, "merge-plan"), nodes_per_part), f"{attempt}/plan")
     plan = spark.read.parquet(f"{attempt}/plan")
     pieces = None
-    for part in sorted(r[0] for r in plan.select("part").distinct().filter("part is not null").collect()):  # a row a part
+    kinds: dict[int, set[tuple[str, str]]] = {}
+    for r in plan.filter("part is not null").select("part", "side", "action").distinct().collect():  # four rows a part at most
+        kinds.setdefault(r["part"], set()).add((r["side"], r["action"]))
+    for part in sorted(kinds):
         if store.exists(spark, f"{attempt}/nodes/part={part}/_SUCCESS"):
             continue
         if pieces is None:
             pieces = stash(masks.triangulate(merge.normal_rings(rings)), "mask-pieces")
         work = plan.filter(F.col("part") == part)
-        _save(_nodes(_written(spark, work, indexes, pieces, space, cell)), f"{attempt}/nodes/part={part}")
+        _save(_nodes(_written(spark, work, kinds[part], indexes, pieces, space, cell)), f"{attempt}/nodes/part={part}")
     if not store.exists(spark, f"{attempt}/nodes"):
         _save(_nodes(spark.createDataFrame([], "level bigint, index bigint, id bigint, polygon array<struct<x:double,y:double,z:double>>")), f"{attempt}/nodes/part=0")
     links = [index.join(plan.filter((F.col("action") == "link") & (F.col("side") == side)).select(*KEY), list(KEY), "left_semi") for side, index in indexes.items()]
