@@ -16,9 +16,18 @@ def centroid(placed: DataFrame) -> list[Column]:
     return [(F.col(f"a{p}") + F.col(f"b{p}") + F.col(f"c{p}")) / 3 for p in "xyz"]
 
 
+def space_of(placed: DataFrame, least: octree.Space) -> octree.Space:
+    """`least`, its side doubled until it holds the centroids of all triangles; they may not lie below its low corner."""
+    far = placed.agg(F.max(F.greatest(*centroid(placed)))).first()[0]
+    extent = least.extent
+    while far is not None and far >= least.low + extent:
+        extent *= 2
+    return octree.Space(least.low, extent)
+
+
 def clusterize(placed: DataFrame, space: octree.Space, *, coarse: int = 2, fine: int = 10, size: int = TRIANGLES) -> DataFrame:
     """`placed` triangles with `node` (coarse cell of the centroid) and `cluster`: blocks of `size` in the order of their
-    finest cells. Blocks are numbered within a node, so no task sorts the whole mesh. Where vertices are numbered in a byte,
+    finest cells. A centroid outside of `space` has no node (see space_of()). Blocks are numbered within a node, so no task sorts the whole mesh. Where vertices are numbered in a byte,
     `size` is TRIANGLES_OF_FEW_VERTICES."""
     at = centroid(placed)
     keyed = placed.withColumn("morton", octree.cell_of(space, F.lit(fine), *at)).withColumn("node", octree.up(F.col("morton"), F.lit(fine - coarse)))
