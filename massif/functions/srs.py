@@ -25,6 +25,7 @@ def require(epsg: int) -> str:
 
 
 def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Easting and northing; past a pole, and at the south pole, northing is null."""
     return lon * (HALF / 180), F.log(F.tan(F.radians(lat) / 2 + math.pi / 4)) * A
 
 

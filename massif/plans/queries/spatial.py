@@ -132,7 +132,11 @@ def _(spark, sf):
     return _ll(spark, sf).select("id", (F.round(x, 3) + 0.0).alias("mx"), (F.round(y, 3) + 0.0).alias("my"))
 
 
-@query("mercator_roundtrip", f"{PT} SELECT id, round({_LON}, 6) + 0.0 AS lon, round({_LAT}, 6) + 0.0 AS lat FROM pt")
+# Embeddings reach past 90 degrees: there Mercator has no northing, so no latitude comes back. At -90 itself it is the logarithm of zero.
+_PROJECTS = f"{_LAT} > -90 AND {_LAT} <= 90"
+
+
+@query("mercator_roundtrip", f"{PT} SELECT id, round({_LON}, 6) + 0.0 AS lon, CASE WHEN {_PROJECTS} THEN round({_LAT}, 6) + 0.0 END AS lat FROM pt")
 def _(spark, sf):
     x, y = srs.to_mercator(F.col("lon"), F.col("lat"))
     d = _ll(spark, sf).select("id", x.alias("mx"), y.alias("my"))
