@@ -49,7 +49,7 @@ def mgi_to_ecef(lon: Column, lat: Column, h: Column) -> tuple[Column, Column, Co
 
 
 def from_ecef(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
-    """Longitude, latitude, height by the closed form with a reduced latitude, then one step of refinement."""
+    """Longitude (-180 to 180), latitude (-90 to 90), height by the closed form with a reduced latitude, then one step of refinement."""
     p = F.sqrt(x * x + y * y)
     b = A * (1 - FLAT)
     t = F.atan2(z * A, p * b)

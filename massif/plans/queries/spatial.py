@@ -160,7 +160,12 @@ def _(spark, sf):
     return _ll(spark, sf).select("id", *[(F.round(c, 3) + 0.0).alias(n) for c, n in zip(at, "xyz", strict=True)])
 
 
-@query("ecef_to_lonlat", f"{PT} SELECT id, round({_LON}, 6) + 0.0 AS lon, round({_LAT}, 6) + 0.0 AS lat, round(z * 3000, 2) + 0.0 AS h FROM pt")
+# A place comes back with its longitude in -180 to 180 and its latitude in -90 to 90: over a pole both turn.
+_OVER = f"abs({_LAT}) > 90"
+_BACK = f"CASE WHEN {_OVER} THEN {_LON} + 180 ELSE {_LON} END"
+
+
+@query("ecef_to_lonlat", f"{PT} SELECT id, round(CASE WHEN abs(t) > 180 THEN t - 360 * floor((t + 180) / 360) ELSE t END, 6) + 0.0 AS lon, round(CASE WHEN {_OVER} THEN sign(y) * 180 - {_LAT} ELSE {_LAT} END, 6) + 0.0 AS lat, round(z * 3000, 2) + 0.0 AS h FROM (SELECT *, {_BACK} AS t FROM pt)")
 def _(spark, sf):
     d = _ll(spark, sf).select("id", *[c.alias(n) for c, n in zip(srs.to_ecef(F.col("lon"), F.col("lat"), F.col("h")), "xyz", strict=True)])
     lon, lat, h = srs.from_ecef(F.col("x"), F.col("y"), F.col("z"))
