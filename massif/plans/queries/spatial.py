@@ -181,9 +181,9 @@ def _(spark, sf):
 _RX = [f"x * cos({k} * pi() / 8) - y * sin({k} * pi() / 8)" for k in range(16)]
 
 
-@query("rotated_bounds", "WITH " + fx.PT + ", " + fx.BOX + ", s AS (SELECT label, lo_x AS x, unnest([lo_y, (lo_y + hi_y) / 2, hi_y]) AS y FROM bx UNION ALL SELECT label, hi_x, unnest([lo_y, (lo_y + hi_y) / 2, hi_y]) FROM bx) SELECT label, round(min(ln(tan(radians(y * 200) / 2 + pi() / 4))), 6) + 0.0 AS lo, round(max(ln(tan(radians(y * 200) / 2 + pi() / 4))), 6) + 0.0 AS hi FROM s GROUP BY label")
+@query("rotated_bounds", f"WITH {fx.PT}, {fx.BOX}, s AS (SELECT label, lo_x AS x, unnest([lo_y, (lo_y + hi_y) / 2, hi_y]) AS y FROM bx UNION ALL SELECT label, hi_x, unnest([lo_y, (lo_y + hi_y) / 2, hi_y]) FROM bx), m AS (SELECT label, CASE WHEN {_PROJECTS} THEN ln(tan(radians(y * 200) / 2 + pi() / 4)) END AS my FROM s) SELECT label, round(min(my), 6) + 0.0 AS lo, round(max(my), 6) + 0.0 AS hi FROM m GROUP BY label")
 def _(spark, sf):
-    """Bounds of transformed boundary samples."""
+    """Bounds of transformed boundary samples; samples past a pole have no northing and are left out."""
     b = fx.boxes(spark, sf)
     s = b.select("label", F.explode(F.array("lo_x", "hi_x")).alias("x"), "lo_y", "hi_y").select("label", "x", F.explode(F.array(F.col("lo_y"), (F.col("lo_y") + F.col("hi_y")) / 2, F.col("hi_y"))).alias("y"))
     my = F.log(F.tan(F.radians(F.col("y") * 200) / 2 + math.pi / 4))
