@@ -197,7 +197,7 @@ def _(spark, sf):
     return fx.points(spark, sf).select("id", down.alias("down"), spatial.bucket(F.col("y"), 0.01).alias("cell"), texts.next_power_of_two(F.col("id")).alias("pow2"), texts.align_up(F.col("id"), 16).alias("aligned"))
 
 
-@query("strict_integer_parse", "SELECT p_partkey, TRY_CAST(CASE WHEN regexp_matches(p_brand, '^-?[0-9]+$') THEN p_brand END AS BIGINT) AS whole, CASE WHEN regexp_matches(regexp_replace(p_brand, '[^0-9]', '', 'g'), '^[0-9]+$') THEN CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS BIGINT) END AS digits, CASE WHEN p_partkey < 1024 THEN p_partkey || ' B' ELSE printf('%.2f KiB', round(p_partkey / 1024.0, 2)) END AS size FROM part")
+@query("strict_integer_parse", "SELECT p_partkey, TRY_CAST(CASE WHEN regexp_matches(p_brand, '^-?[0-9]+$') THEN p_brand END AS BIGINT) AS whole, CASE WHEN regexp_matches(regexp_replace(p_brand, '[^0-9]', '', 'g'), '^[0-9]+$') THEN CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS BIGINT) END AS digits, CASE WHEN p_partkey < 1024 THEN p_partkey || ' B'" + "".join(f" WHEN p_partkey < {1 << 10 * k + 10} THEN printf('%.2f {u}', round(p_partkey / {1 << 10 * k}.0, 2))" for k, u in ((1, "KiB"), (2, "MiB"), (3, "GiB"))) + " ELSE printf('%.2f TiB', round(p_partkey / 1099511627776.0, 2)) END AS size FROM part")
 def _(spark, sf):
     p = fx.read(spark, sf, "part")
     return p.select("p_partkey", texts.strict_integer(F.col("p_brand")).alias("whole"), texts.strict_integer(F.regexp_replace("p_brand", "[^0-9]", "")).alias("digits"), texts.byte_size(F.col("p_partkey")).alias("size"))
