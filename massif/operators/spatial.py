@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massif.functions import octree
+from massif.plans.shared import stash
 
 XYZ = ("x", "y", "z")
 
@@ -23,8 +25,6 @@ def distance2(a: tuple[str, ...], b: tuple[str, ...]) -> Column:
     return d
 
 
-def epsilon_join(left: DataFrame, right: DataFrame, eps: float, axes: tuple[str, ...] = XYZ) -> DataFrame:
-    """Pairs of rows within `eps`, inclusive: columns of left as they are, of right with the prefix r_, and d2.
 def dealt(df: DataFrame, eps: float, axes: tuple[str, ...], prefix: str) -> DataFrame:
     """Rows with `_cell`, once for each cell of side 3 eps that their reach of `eps` meets, known by a hash."""
     ends = []
@@ -35,24 +35,39 @@ def dealt(df: DataFrame, eps: float, axes: tuple[str, ...], prefix: str) -> Data
     return df.withColumn("_cell", F.explode(F.array_distinct(F.array(*[F.xxhash64(*c) for c in product(*ends)]))))
 
 
+def epsilon_join(left: DataFrame, right: DataFrame, eps: float, axes: tuple[str, ...] = XYZ) -> DataFrame:
+    """Pairs of rows within `eps`, inclusive: columns of left as they are, of right with the prefix r_, and d2.
 
-    The right side's rows are sent to their own cell of side eps and those around it; no cap on neighbours. Null
-    coordinates join nothing."""
-    r = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns})
-    steps = product((-1, 0, 1), repeat=len(axes))
-    around = F.array(*[F.array(*[bucket(F.col(f"r_{a}"), eps) + k for a, k in zip(axes, s, strict=True)]) for s in steps])
-    r = r.dropna(subset=[f"r_{a}" for a in axes]).withColumn("_cell", F.explode(around))
-    l = left.withColumn("_cell", F.array(*[bucket(F.col(a), eps) for a in axes]))
+    A right row goes to the cells of side 3 eps that its reach meets: five in the mean, eight at most, where cells of side
+    eps would take 27. It goes once to each hash of a cell, so a pair is met once even if two hashes are equal. No cap on
+    neighbours. Null coordinates join nothing."""
+    r = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns}).dropna(subset=[f"r_{a}" for a in axes])
+    l = left.dropna(subset=list(axes)).withColumn("_cell", F.xxhash64(*[bucket(F.col(a), 3 * eps) for a in axes]))
     d2 = distance2(axes, tuple(f"r_{a}" for a in axes))
-    return l.join(r, "_cell").drop("_cell").withColumn("d2", d2).filter(F.col("d2") <= eps * eps)
+    return l.join(dealt(r, eps, axes, "r_"), "_cell").drop("_cell").withColumn("d2", d2).filter(F.col("d2") <= eps * eps)
 
 
 def nearest(left: DataFrame, right: DataFrame, eps: float, *, left_id: str = "id", right_id: str = "id", axes: tuple[str, ...] = XYZ) -> DataFrame:
     """The nearest right row of each left row within `eps`, ties to the smallest right id; min_by combines before its
-    shuffle, where a window would sort all pairs."""
-    pairs = epsilon_join(left, right, eps, axes).filter(F.col("d2") < eps * eps)
-    best = F.min(F.struct("d2", F.col(f"r_{right_id}").alias("near")))
-    return pairs.groupBy(left_id).agg(best.alias("b")).select(left_id, "b.near", "b.d2")
+    shuffle, where a window would sort all pairs.
+
+    Right rows of one position count once. Many of them are looked for in growing balls: the first is so small that, were
+    all within one ball of `eps`, it would hold 8 if they lay evenly; left rows that find none go on with twice the
+    radius. So pairs grow with the rows and not with their density."""
+    right = stash(right.dropna(subset=list(axes)).groupBy(*axes).agg(F.min(right_id).alias(right_id)), "nearest-right")
+    rounds = max(0, math.ceil(math.log2(max(right.count(), 1) / 8) / len(axes)))
+    out, rest = None, left.select(left_id, *axes).dropna(subset=list(axes)).distinct()
+    rest = stash(rest, "nearest-left") if rounds else rest
+    for k in range(rounds, -1, -1):
+        radius = eps / 2**k
+        pairs = epsilon_join(rest, right, radius, axes).filter(F.col("d2") < radius * radius)
+        best = F.min(F.struct("d2", F.col(f"r_{right_id}").alias("near")))
+        found = pairs.groupBy(left_id).agg(best.alias("b")).select(left_id, "b.near", "b.d2")
+        if k:
+            found = stash(found, "nearest-found")
+            rest = stash(rest.join(found.select(left_id), left_id, "left_anti"), "nearest-left")
+        out = found if out is None else out.union(found)
+    return out
 
 
 def exact_join(left: DataFrame, right: DataFrame, axes: tuple[str, ...] = XYZ) -> DataFrame:
