@@ -287,22 +287,24 @@ def all_valid(*masks: Column) -> Column:
 
 def not_known_empty(targets: DataFrame, sources: DataFrame, margin: float) -> DataFrame:
     """Targets (lo_x, lo_y, hi_x, hi_y) that a source tile of the same columns, side at most one unit, may reach when they are
-    widened by a share of their size: others need no warping. Both sides are dealt into cells of one unit."""
+    widened by a share of their size: others need no warping. Equal targets count once. Both sides are dealt into cells of
+    one unit; boxes that many rows share are compared once, however many there are."""
     def cells(lo: Column, hi: Column) -> Column:
         return F.explode(F.sequence(F.floor(lo).cast("long"), F.floor(hi).cast("long")))
 
-    names = targets.columns
-    t = targets
+    box = [f"{p}_{a}" for p in ("lo", "hi") for a in "xy"]
+    t = targets.select(*box).distinct()
     for a in "xy":
         by = (F.col(f"hi_{a}") - F.col(f"lo_{a}")) * margin
         t = t.withColumns({f"_lo_{a}": F.col(f"lo_{a}") - by, f"_hi_{a}": F.col(f"hi_{a}") + by})
     t = t.withColumn("_cx", cells(F.col("_lo_x"), F.col("_hi_x"))).withColumn("_cy", cells(F.col("_lo_y"), F.col("_hi_y")))
-    s = sources.select(*[F.col(f"{p}_{a}").alias(f"_s{p}_{a}") for p in ("lo", "hi") for a in "xy"])
+    s = sources.select(*[F.col(f"{p}_{a}").alias(f"_s{p}_{a}") for p in ("lo", "hi") for a in "xy"]).distinct()
     s = s.withColumn("_cx", cells(F.col("_slo_x"), F.col("_shi_x"))).withColumn("_cy", cells(F.col("_slo_y"), F.col("_shi_y")))
     meets = F.lit(True)
     for a in "xy":
         meets = meets & (F.col(f"_slo_{a}") <= F.col(f"_hi_{a}")) & (F.col(f"_shi_{a}") >= F.col(f"_lo_{a}"))
-    return t.join(s, ["_cx", "_cy"]).filter(meets).select(*names).distinct()
+    reached = t.join(s, ["_cx", "_cy"]).filter(meets).select(*box).distinct()
+    return targets.distinct().join(reached, box, "left_semi").select(*targets.columns)
 
 
 def warp(source: DataFrame, target: DataFrame, sx: Column, sy: Column, value: str = "v", valid: str = "valid") -> DataFrame:
