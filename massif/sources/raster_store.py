@@ -53,8 +53,13 @@ def to_subtiles(pixels: DataFrame, options: Options, zoom: int) -> DataFrame:
     n, t = options.subtile, options.tile
     place = (F.col("py") % n) * n + F.col("px") % n
     at = [F.floor(F.col("px") / t).cast("long").alias("tx"), F.floor(F.col("py") / t).cast("long").alias("ty"), F.floor(F.col("px") % t / n).cast("long").alias("sx"), F.floor(F.col("py") % t / n).cast("long").alias("sy")]
-    cells = pixels.groupBy(*at).agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int").alias("k"), F.col("v")))).alias("m"))
-    data = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.try_element_at("m", k))
+    cells = pixels.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct(place.cast("int").alias("k"), F.col("v")))).alias("m"))
+    # Each value is followed by as many nulls as are missing up to the next one: a pass over the list, whatever its length.
+    after = F.concat(F.slice(F.transform("m", lambda e: e["k"]), 2, n * n), F.array(F.lit(n * n)))
+    none = F.lit(None).cast(pixels.schema["v"].dataType)
+    runs = F.zip_with("m", after, lambda e, k: F.concat(F.array(e["v"]), F.array_repeat(none, k - e["k"] - 1)))
+    data = F.concat(F.array_repeat(none, F.col("m")[0]["k"]), F.flatten(runs))
+    data = F.when(F.size(data) == n * n, data).otherwise(F.raise_error(F.lit("a subtile has two values for a pixel")))
     return cells.select(F.lit(zoom).cast("long").alias("zoom"), "tx", "ty", "sx", "sy", data.alias("data")).withColumn("hash", F.xxhash64("data"))
 
 
