@@ -141,13 +141,8 @@ def identify(docs: DataFrame, profiles: Profiles, *, keep: list[str] | None = No
     return docs.select(F.col(text_col).alias("_text"), *[F.col(f"`{c}`") for c in columns]).mapInArrow(run, f"{kinds}lang_pred string, score double")
 
 
-def low_score(docs: DataFrame, profiles: Profiles, *, quantile: float = 0.01, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_docs: int = FIT_DOCS) -> float | None:
-    """The score below which lies this share of the documents labelled with a learnt language, from about `fit_docs` a
-    language, chosen by a hash of their ids. None without such documents."""
+def low_score(docs: DataFrame, profiles: Profiles, *, quantile: float = 0.01, text_col: str = "text", lang_col: str = "lang") -> float | None:
+    """The score below which lies this share of the documents labelled with a learnt language, from all of them. None
+    without such documents."""
     known = docs.filter(F.col(lang_col).isin(profiles.languages) & F.col(text_col).isNotNull())
-    n = known.count()
-    if not n:
-        return None
-    share = min(1.0, fit_docs * len(profiles.languages) / n)
-    chosen = known.filter(F.pmod(F.xxhash64(id_col, F.lit(9)), F.lit(1 << 20)) < share * (1 << 20)).select(F.col(text_col).alias("text"))
-    return identify(chosen, profiles, keep=[]).filter("lang_pred != 'und'").agg(F.percentile("score", F.lit(quantile))).first()[0]
+    return identify(known.select(F.col(text_col).alias("text")), profiles, keep=[]).filter("lang_pred != 'und'").agg(F.percentile("score", F.lit(quantile))).first()[0]
