@@ -3,11 +3,14 @@ triangle, each looks for the nearest point of the old surface, and takes its col
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massif.functions import geometry as g
-from massif.functions.octree import let
 
 
 def rasterise(triangles: DataFrame, *keep: str) -> DataFrame:
@@ -34,40 +37,55 @@ def rasterise(triangles: DataFrame, *keep: str) -> DataFrame:
     return w.filter(inside).select("tid", "tx", "ty", F.col("_w.u").alias("w0"), F.col("_w.v").alias("w1"), F.col("_w.w").alias("w2"), *keep)
 
 
-def _weights(p: Column, a: Column, b: Column, c: Column) -> Column:
-    """Barycentric weights of the point of a triangle's plane nearest to p, brought to the triangle where it is outside."""
-    def solved(n: Column) -> Column:
-        size = g.dot(n, n)
-        u, v = g.dot(n, g.cross(g.sub(c, b), g.sub(p, b))) / size, g.dot(n, g.cross(g.sub(a, c), g.sub(p, c))) / size
-        u, v, w = (F.greatest(x, F.lit(0.0)) for x in (u, v, 1 - u - v))
-        return F.struct((u / (u + v + w)).alias("u"), (v / (u + v + w)).alias("v"), (w / (u + v + w)).alias("w"))
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tid, tx, ty, sid, image, x, y, z, ax..cz, u0..v2) with the distance of the place x, y, z to the triangle, and where
+    in its image the nearest point of it is; of rows of one texel that come together only the nearest is kept."""
+    def dot(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return (p * q).sum(axis=0)
+
+    def cross(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.stack([p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]])
+
+    def along(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The distance to a side."""
+        size = dot(b - a, b - a)
+        d = p - a - np.where(size > 0, np.clip(dot(p - a, b - a) / size, 0.0, 1.0), 0.0) * (b - a)
+        return np.sqrt(dot(d, d))
 
-    return let(g.cross(g.sub(b, a), g.sub(c, a)), solved)
+    for batch in batches:
+        own = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names if n != "image"}
+        p, a, b, c = (np.stack([own[f"{k}{e}"] for e in "xyz"]) for k in ("", "a", "b", "c"))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            n = cross(b - a, c - a)
+            size = dot(n, n)
+            inside = (size > 0) & np.logical_and.reduce([dot(cross(w - v, p - v), n) >= 0 for v, w in ((a, b), (b, c), (c, a))])
+            far = np.where(inside, np.abs(dot(p - a, n)) / np.sqrt(size), np.minimum(np.minimum(along(p, a, b), along(p, b, c)), along(p, c, a)))
+            u, v = dot(n, cross(c - b, p - b)) / size, dot(n, cross(a - c, p - c)) / size
+            w = np.maximum(np.stack([u, v, 1 - u - v]), 0.0)
+            w = np.where(size > 0, w / w.sum(axis=0), np.array([[1.0], [0.0], [0.0]]))  # without area: its first corner
+        far = np.round(far, 9)
+        order = np.lexsort((own["sid"], far, own["ty"], own["tx"], own["tid"]))
+        texel = np.stack([own[k][order] for k in ("tid", "tx", "ty")])
+        first = order[np.concatenate([[True], (texel[:, 1:] != texel[:, :-1]).any(axis=0)])[: len(order)]]
+        out = [pa.array(own[k][first]) for k in ("tid", "tx", "ty", "sid")] + [batch.column("image").take(pa.array(first)), pa.array(far[first])]
+        out += [pa.array(sum(w[i] * own[f"{x}{i}"] for i in range(3))[first]) for x in "uv"]
+        yield pa.RecordBatch.from_arrays(out, names=["tid", "tx", "ty", "sid", "image", "far", "su", "sv"])
 
 
 def nearest_source(texels: DataFrame, targets: DataFrame, sources: DataFrame, pairs: DataFrame) -> DataFrame:
     """(tid, tx, ty, sid, image, su, sv): for each texel of rasterise() the triangle of `sources` (sid, image, ax..cz, u0..v2)
     that is nearest to its place on its own triangle of `targets` (tid, ax..cz), and where in that one's image it is. Only
     `pairs` (tid, sid) are compared, which correspondence of the two meshes gives; of equally near ones the first by sid
-    is taken. Texels without a pair go. Distances are only computed to triangles whose bounds are no further away than the
-    nearest of their centroids."""
+    is taken. Texels without a pair go. Pairs take their triangles along to the texels' own, so what is shuffled is a row for
+    each texel and each pair, not for each texel's pair: those are compared where they are joined."""
     corner = [g.point(*[F.col(f"{k}{p}") for p in "xyz"]) for k in "abc"]
     t = texels.join(targets.select("tid", *[c.alias(f"_{k}") for c, k in zip(corner, "abc", strict=True)]), "tid")
-    place = g.point(*[sum((F.col(f"w{i}") * F.col(f"_{k}.{p}") for i, k in enumerate("abc")), F.lit(0.0)) for p in "xyz"])
-    t = t.select("tid", "tx", "ty", place.alias("p")).join(pairs.select("tid", "sid").distinct(), "tid")
-    s = sources.select("sid", "image", *[c.alias(f"_{k}") for c, k in zip(corner, "abc", strict=True)], *[f"{x}{i}" for i in range(3) for x in "uv"])
-    met = t.join(s, "sid")
-    abc = [F.col(f"_{k}") for k in "abc"]
-    bound, centre = F.lit(0.0), F.lit(0.0)
-    for c in "xyz":
-        at, own = F.col(f"p.{c}"), [k[c] for k in abc]
-        gap, off = F.greatest(F.least(*own) - at, at - F.greatest(*own), F.lit(0.0)), at - (own[0] + own[1] + own[2]) / 3
-        bound, centre = bound + gap * gap, centre + off * off
-    met = met.withColumns({"_bound": bound, "_least": F.min(centre).over(Window.partitionBy("tid", "tx", "ty"))})
-    met = met.filter(F.col("_bound") <= F.col("_least") * (1 + 1e-9))
-    met = met.withColumn("far", F.round(g.triangle_distance(F.col("p"), *abc), 9)).withColumn("w", _weights(F.col("p"), *abc))
-    su, sv = (sum((F.col(f"w.{k}") * F.col(f"{x}{i}") for i, k in enumerate("uvw")), F.lit(0.0)) for x in "uv")
-    best = met.groupBy("tid", "tx", "ty").agg(F.min(F.struct("far", "sid", "image", su.alias("su"), sv.alias("sv"))).alias("b"))
+    place = [sum((F.col(f"w{i}") * F.col(f"_{k}.{p}") for i, k in enumerate("abc")), F.lit(0.0)).alias(p) for p in "xyz"]
+    s = sources.select("sid", "image", *[F.col(f"{k}{p}").cast("double").alias(f"{k}{p}") for k in "abc" for p in "xyz"], *[F.col(f"{x}{i}").cast("double").alias(f"{x}{i}") for i in range(3) for x in "uv"])
+    met = t.select("tid", "tx", "ty", *place).join(pairs.select("tid", "sid").distinct().join(s, "sid"), "tid")
+    kind = {f.name: f.dataType.simpleString() for f in met.schema}
+    found = met.mapInArrow(_nearest, ", ".join(f"{n} {kind.get(n, 'double')}" for n in ("tid", "tx", "ty", "sid", "image", "far", "su", "sv")))
+    best = found.groupBy("tid", "tx", "ty").agg(F.min(F.struct("far", "sid", "image", "su", "sv")).alias("b"))
     return best.select("tid", "tx", "ty", "b.sid", "b.image", "b.su", "b.sv")
 
 
