@@ -3,9 +3,10 @@
 import contextlib
 import io
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from massif.operators import bake
+from massif.operators import bake, shadow
 
 CORNERS = [f"{k}{p}" for k in "abc" for p in "xyz"]
 UV = [f"{x}{i}" for i in range(3) for x in "uv"]
@@ -28,3 +29,13 @@ def test_texels_meet_their_pairs_without_a_shuffle_of_the_pairs(spark):
     found = bake.nearest_source(bake.rasterise(targets), targets, sources, pairs)
     assert {(r.sid, round(r.su - r.tx, 9), round(r.sv - r.ty, 9)) for r in found.collect()} == {(1, 0.5, 0.5)} and found.count() == 10
     assert "Window" not in plan(found)  # which sorted and shuffled a row for each texel's pair
+
+
+def test_stretches_of_a_side_that_one_holds_go_before_they_are_shuffled():
+    side = {"px": 0.0, "py": 0.0, "qx": 8.0, "qy": 0.0}
+    tall = [{"x0": -9.0, "y0": -9.0, "x1": 20.0, "y1": -9.0 - k, "x2": 4.0, "y2": 30.0 + k} for k in range(50)]  # hold it whole
+    part = [{"x0": 1.0 + k, "y0": -2.0, "x1": 4.0 + k, "y1": -2.0, "x2": 2.0 + k, "y2": 9.0} for k in range(3)]
+    rows = [{"by": b, **side, **t} for b, shapes in (("whole", tall + part), ("part", part)) for t in shapes]
+    got = pa.Table.from_batches(shadow._stretches(["by"])(pa.Table.from_pylist(rows).to_batches())).to_pylist()
+    assert [r["by"] for r in got].count("whole") == 1 and [(r["s"], r["t"]) for r in got if r["by"] == "whole"] == [(0.0, 1.0)]
+    assert [r["by"] for r in got].count("part") == 3 and all(0 < r["s"] < r["t"] < 1 for r in got if r["by"] == "part")
