@@ -39,3 +39,9 @@ def test_stretches_of_a_side_that_one_holds_go_before_they_are_shuffled():
     got = pa.Table.from_batches(shadow._stretches(["by"])(pa.Table.from_pylist(rows).to_batches())).to_pylist()
     assert [r["by"] for r in got].count("whole") == 1 and [(r["s"], r["t"]) for r in got if r["by"] == "whole"] == [(0.0, 1.0)]
     assert [r["by"] for r in got].count("part") == 3 and all(0 < r["s"] < r["t"] < 1 for r in got if r["by"] == "part")
+
+
+def test_polygons_are_not_put_into_one_task_by_their_bytes(spark):
+    rings = spark.createDataFrame([(k, 0, i, float(x), float(y)) for k in range(9) for i, (x, y) in enumerate(((0, 0), (1, 0), (0, 1)))], "component int, ring int, seq int, x double, y double")
+    caps = shadow.cap_triangles(rings)
+    assert "REPARTITION_BY_NUM" in plan(caps) and caps.count() == 9
