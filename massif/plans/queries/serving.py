@@ -11,7 +11,7 @@ from massif.operators.index import closure
 from massif.plans import fixtures as fx
 from massif.plans.queries.meshes import _NODES, nodes
 from massif.plans.registry import query
-from massif.plans.shared import fresh_dir
+from massif.plans.shared import fresh_dir, shuffle_width
 from massif.sources import files, raster_store, store
 
 PT = f"WITH {fx.PT}"
@@ -52,6 +52,7 @@ SELECT k, CASE WHEN k % 7 <> 0 THEN k * 0.5::DOUBLE + s END AS hi_x, CASE WHEN s
 def _(spark, sf):
     k, z, s = F.col("p_partkey"), (F.col("p_partkey") % 20).cast("string"), F.col("p_size").cast("string")
     p = fx.read(spark, sf, "part").select(k.alias("k"), z.alias("z"), s.alias("s"), (k * 0.5).cast("string").alias("x"))
+    p = p.repartition(shuffle_width(spark))  # few bytes are much work
     values = F.concat_ws(",", "x", "s", F.lit("1"), F.when(F.col("k") % 7 == 0, "wide").otherwise(" 2"))
     b, t, n = regions.bounds_of_values(values), regions.bounds_of_tile(F.concat_ws(",", "z", "s", F.lit("0"))), regions.node_of(F.concat_ws(",", "z", "s", F.lit("0"), F.lit("0")))
     return p.select("k", b["hi_x"].alias("hi_x"), (F.round(t["lo_x"], 4) + 0.0).alias("tile_x"), n["index"].alias("index"))

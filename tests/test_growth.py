@@ -6,6 +6,7 @@ import io
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from massif.functions import regions
 from massif.operators import bake, shadow
 
 CORNERS = [f"{k}{p}" for k in "abc" for p in "xyz"]
@@ -45,3 +46,15 @@ def test_polygons_are_not_put_into_one_task_by_their_bytes(spark):
     rings = spark.createDataFrame([(k, 0, i, float(x), float(y)) for k in range(9) for i, (x, y) in enumerate(((0, 0), (1, 0), (0, 1)))], "component int, ring int, seq int, x double, y double")
     caps = shadow.cap_triangles(rings)
     assert "REPARTITION_BY_NUM" in plan(caps) and caps.count() == 9
+
+
+def test_regions_of_odd_texts_without_functions_over_arrays(spark):
+    texts = [None, "", "7", "1,2", "1,2,3", " 1, 2 ,3,4", "1,2,3,4,5", "1,2,3,4,5,6", "1,2,3,x,5,6", "1,2,3,4,5,6,7", "2,3,3,3", "2,4,0,0", "2,64", "-1,0", "1,1,1", "1,2,0", "99,0,0"]
+    t = F.col("t")
+    found = spark.createDataFrame([(x,) for x in texts], "t string").select("t", regions.bounds_of_values(t).alias("b"), regions.bounds_of_tile(t).alias("q"), regions.node_of(t).alias("n"))
+    got = {r.t: r for r in found.collect()}
+    inf = float("inf")
+    assert {k: tuple(r.b) for k, r in got.items() if r.b} == {" 1, 2 ,3,4": (1, 3, -inf, 3, 7, inf), "1,2,3,4,5,6": (1, 3, 5, 3, 7, 11), "2,3,3,3": (2, 3, -inf, 5, 6, inf), "2,4,0,0": (2, 0, -inf, 6, 0, inf)}
+    assert {k for k, r in got.items() if r.q} == {"1,1,1"}
+    assert {k: tuple(r.n) for k, r in got.items() if r.n} == {"1,2": (1, 2), "2,3,3,3": (2, 63)}
+    assert "transform" not in plan(found) and "forall" not in plan(found)
