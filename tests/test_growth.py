@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from massif.functions import regions
-from massif.operators import bake, shadow
+from massif.operators import bake, shadow, terrain
 
 CORNERS = [f"{k}{p}" for k in "abc" for p in "xyz"]
 UV = [f"{x}{i}" for i in range(3) for x in "uv"]
@@ -58,3 +58,15 @@ def test_regions_of_odd_texts_without_functions_over_arrays(spark):
     assert {k for k, r in got.items() if r.q} == {"1,1,1"}
     assert {k: tuple(r.n) for k, r in got.items() if r.n} == {"1,2": (1, 2), "2,3,3,3": (2, 63)}
     assert "transform" not in plan(found) and "forall" not in plan(found)
+
+
+def test_triangles_within_their_bounds_are_not_clipped(spark):
+    pixels = spark.createDataFrame([(x, y, float(x), True) for x in range(4) for y in range(2)], "px long, py long, v double, valid boolean")
+    window = "id long, px0 long, py0 long, px1 long, py1 long, " + ", ".join(f"{e}_{a} double" for e in ("lo", "hi") for a in "xyz")
+    windows = spark.createDataFrame([(1, 0, 0, 4, 2, -9.0, -9.0, -9.0, 9.0, 9.0, 9.0), (2, 0, 0, 4, 2, -9.0, -9.0, -9.0, 3.0, 9.0, 9.0), (3, 0, 0, 4, 2, 0.5, 0.5, 0.0, 3.5, 1.5, 3.0)], window)
+    found = terrain.build_patches(pixels, windows, (0.0, 1.0, 0.0, 0.0, 0.0, 1.0), lambda x, y, v: (x, y, v))
+    area = lambda p: abs(sum(a.x * b.y - b.x * a.y for a, b in zip(p, p[1:] + p[:1], strict=True))) / 2
+    rows = found.collect()
+    assert {k: (round(sum(area(r.polygon) for r in rows if r.id == k), 9), len([r for r in rows if r.id == k])) for k in (1, 2, 3)} == {1: (3.0, 6), 2: (2.5, 6), 3: (3.0, 6)}
+    text = plan(found)
+    assert "CASE WHEN" in text.split("aggregate(")[0] and "transform(t#" not in text
