@@ -6,7 +6,7 @@ import io
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from massif.functions import regions
+from massif.functions import octree, regions
 from massif.operators import bake, shadow, terrain
 
 CORNERS = [f"{k}{p}" for k in "abc" for p in "xyz"]
@@ -70,3 +70,12 @@ def test_triangles_within_their_bounds_are_not_clipped(spark):
     assert {k: (round(sum(area(r.polygon) for r in rows if r.id == k), 9), len([r for r in rows if r.id == k])) for k in (1, 2, 3)} == {1: (3.0, 6), 2: (2.5, 6), 3: (3.0, 6)}
     text = plan(found)
     assert "CASE WHEN" in text.split("aggregate(")[0] and "transform(t#" not in text
+
+
+def test_encode_names_its_argument_few_times(spark):
+    values = [0, 1, 127, 128, 16384, 2**21 - 1, 2**21 + 5, 1234567, -1, None]
+    rows = [(x, values[-1 - k], 1048575 - k) for k, x in enumerate(values)]
+    df = spark.createDataFrame(rows, "x long, y long, z long").select("x", "y", "z", octree.encode(F.col("x"), F.col("y"), F.col("z")).alias("k"))
+    want = lambda *p: None if None in p else sum((v >> b & 1) << 3 * b + d for b in range(21) for d, v in enumerate(p))
+    assert all(r.k == want(r.x, r.y, r.z) for r in df.collect())
+    assert plan(df.select("k")).count("x#") < 40  # 32 times in each of its places
