@@ -3,11 +3,13 @@
 import contextlib
 import io
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from test_additions import plain_multipartite
 
 from massif.functions import octree, regions
-from massif.operators import bake, shadow, terrain
+from massif.operators import bake, merge, shadow, spatial, terrain, welding
 
 CORNERS = [f"{k}{p}" for k in "abc" for p in "xyz"]
 UV = [f"{x}{i}" for i in range(3) for x in "uv"]
@@ -79,3 +81,31 @@ def test_encode_names_its_argument_few_times(spark):
     want = lambda *p: None if None in p else sum((v >> b & 1) << 3 * b + d for b in range(21) for d, v in enumerate(p))
     assert all(r.k == want(r.x, r.y, r.z) for r in df.collect())
     assert plan(df.select("k")).count("x#") < 40  # 32 times in each of its places
+
+
+def strip_of_points(n, seed):
+    """Points of three sources that one eps-component of 0.06 holds, over several tiles, some of them copies, and two at no place."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(i), int(rng.integers(0, 3)), *map(float, rng.random(3) * [2.0, 0.1, 0.05])) for i in rng.permutation(n)]
+    return rows + [(n + k, k % 3, *rows[k % 5][2:]) for k in range(20)], [(n + 90, 0, None, 0.0, 0.0), (n + 91, 1, None, 0.0, 0.0), (n + 92, 1, float("nan"), 0.0, 0.0), (n + 93, 2, float("nan"), 0.0, 0.0)]
+
+
+def welded_without_pairs(spark, monkeypatch, rows, lone, how):
+    monkeypatch.setattr(spatial, "epsilon_join", None)  # which made all pairs within eps, to weld each component in one task
+    p = spark.createDataFrame(rows + lone, "id long, source long, x double, y double, z double")
+    got = {r.id: r.merged for r in how(p, 0.06).collect()}
+    assert all(got.pop(r[0]) == r[0] for r in lone)
+    return got
+
+
+def test_multipartite_weld_takes_no_component_whole(spark, monkeypatch):
+    rows, lone = strip_of_points(300, 3)
+    assert welded_without_pairs(spark, monkeypatch, rows, lone, merge.weld_multipartite) == plain_multipartite(rows, 0.06)
+
+
+def test_pairs_of_groups_that_wait_for_one_source_are_not_made():
+    at, tile = np.random.default_rng(1).random((3000, 3)) * 0.01, np.zeros(3000, np.int64)
+    mask = np.array([0b0111] * 2995 + [0b1000] * 5)
+    with_one = lambda: sum(len(q) for q, _, _ in welding.near_pairs(at[:2995], tile[:2995], at[2995:], tile[2995:], 0.1))
+    p, q, _ = welding.compatible_pairs(at, tile, mask, 0.1)
+    assert len(p) == 2995 * 5 == with_one() and {int(a) for a in mask[p] | mask[q]} == {0b1111}
