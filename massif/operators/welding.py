@@ -15,6 +15,7 @@ from massif.plans.shared import shuffle_width, stash
 
 BUCKET = 20_000  # points that a task gets in the mean
 SHIFT = (0.0, 0.5, 0.25, 0.75)  # of a tile's side, by round
+LEAF = 8  # positions in a leaf of a tree
 
 
 def finite(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,13 +27,14 @@ def finite(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dealt(df: DataFrame, side: float, halo: float, shift: float, rows: int) -> DataFrame:
-    """Rows with tile (tx, ty, tz), once for each tile whose halo holds them, in as many buckets of tiles as `rows` ask for."""
+    """Rows with tile (tx, ty, tz), once for each tile whose halo holds them, in as many tasks as `rows` ask for. A bucket has
+    several tiles where they are many, and there are more buckets than tasks, so that full tiles seldom meet in one."""
     for a in "xyz":
         reach = halo * (1 + 1e-9) + F.abs(a) * 1e-15
         lo, hi = (F.floor((e - shift) / side).cast("long") for e in (F.col(a) - reach, F.col(a) + reach))
         df = df.withColumn(f"t{a}", F.explode(F.sequence(lo, hi)))
-    n = max(2 * shuffle_width(df.sparkSession), rows // BUCKET)
-    return df.withColumn("bucket", F.pmod(F.xxhash64("tx", "ty", "tz"), F.lit(n)).cast("int")).repartition(n, "bucket")
+    n = max(4 * shuffle_width(df.sparkSession), rows // BUCKET)
+    return df.withColumn("bucket", F.pmod(F.xxhash64("tx", "ty", "tz"), F.lit(16 * n)).cast("int")).repartition(n, "bucket")
 
 
 def placed(pdf: pd.DataFrame, side: float, halo: float, shift: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -204,3 +206,170 @@ def multipartite(points: DataFrame, eps: float) -> DataFrame:
 
 _TOLD = "id long, source {}, x double, y double, z double, label long, done boolean"
 
+
+# In the order of ids: a point takes the nearest that is free of every other source
+
+
+class Tree:
+    """A k-d tree over positions of one source, of which points are taken away. Points of one position are a queue in the
+    order of ids: first those whose state is in doubt, then those that are free; only its heads ever go."""
+
+    def __init__(self, at: np.ndarray, points: np.ndarray):
+        """`points` are the rows of `at` that it holds, in the order of ids."""
+        spots, spot = np.unique(at[points] + 0.0, axis=0, return_inverse=True)
+        spot = spot.reshape(-1)
+        order = np.argsort(spot, kind="stable")
+        self.queue = points[order].tolist()
+        ends = np.cumsum(np.bincount(spot, minlength=len(spots)))
+        self.end = ends.tolist()
+        self.doubt = (ends - np.bincount(spot, minlength=len(spots))).tolist()  # heads of the points in doubt, and of the free
+        self.free = list(self.doubt)
+        self.spot = dict(zip(points.tolist(), spot.tolist(), strict=True))
+        self.x, self.y, self.z = spots.T.tolist()
+        self.box, self.below, self.up, self.held, self.leaf = [], [], [], [], [0] * len(spots)
+        todo = [(np.arange(len(spots)), -1)]
+        while todo:
+            rows, up = todo.pop()
+            node = len(self.box)
+            lo, hi = spots[rows].min(axis=0), spots[rows].max(axis=0)
+            self.box.append((*lo.tolist(), *hi.tolist()))
+            self.up.append(up)
+            self.below.append([])
+            self.held.append(None)
+            if up >= 0:
+                self.below[up].append(node)
+            if len(rows) <= LEAF:
+                self.held[node] = rows.tolist()
+                for s in self.held[node]:
+                    self.leaf[s] = node
+            else:
+                half = len(rows) // 2
+                cut = np.argpartition(spots[rows, np.argmax(hi - lo)], half)
+                todo += [(rows[cut[:half]], node), (rows[cut[half:]], node)]
+        self.n_free, self.n_doubt = [0] * len(self.box), [0] * len(self.box)
+        for s, (a, b) in enumerate(zip(self.free, self.end, strict=True)):
+            self.n_free[self.leaf[s]] += b - a
+        for node in range(len(self.box) - 1, 0, -1):
+            self.n_free[self.up[node]] += self.n_free[node]
+
+    def count(self, spot: int, free: int, doubt: int) -> None:
+        node = self.leaf[spot]
+        while node >= 0:
+            self.n_free[node] += free
+            self.n_doubt[node] += doubt
+            node = self.up[node]
+
+    def take(self, point: int) -> None:
+        """Away with the head of its queue."""
+        s = self.spot[point]
+        if self.doubt[s] < self.free[s]:
+            self.count(s, 0, -1)
+        else:
+            self.free[s] += 1
+            self.count(s, -1, 0)
+        self.doubt[s] += 1
+
+    def put_in_doubt(self, point: int) -> None:
+        """The first free one of its queue."""
+        s = self.spot[point]
+        self.free[s] += 1
+        self.count(s, -1, 1)
+
+    def nearest(self, x: float, y: float, z: float, far: float, *, heed: bool) -> tuple[int, bool]:
+        """The nearest free point within a squared distance, ties to the first, or -1; and, if heeded, whether one in doubt
+        is as near."""
+        best, found, dim = far, -1, math.inf
+        box, below, held, n_free, n_doubt, queue, xs, ys, zs = self.box, self.below, self.held, self.n_free, self.n_doubt, self.queue, self.x, self.y, self.z
+
+        def off(node: int) -> float:
+            a, b, c, d, e, f = box[node]
+            u = a - x if x < a else x - d if x > d else 0.0
+            v = b - y if y < b else y - e if y > e else 0.0
+            w = c - z if z < c else z - f if z > f else 0.0
+            return u * u + v * v + w * w
+
+        todo = [(off(0), 0)]
+        while todo:
+            d, node = todo.pop()
+            if d > best or not n_free[node] and not (heed and n_doubt[node] and d < dim):
+                continue
+            if held[node] is None:
+                p, q = below[node]
+                u, v = off(p), off(q)
+                todo += [(v, q), (u, p)] if u <= v else [(u, p), (v, q)]
+                continue
+            for s in held[node]:
+                first, free = self.doubt[s], self.free[s]
+                if first == self.end[s]:
+                    continue
+                u, v, w = xs[s] - x, ys[s] - y, zs[s] - z
+                d = u * u + v * v + w * w
+                if d > best:
+                    continue
+                if heed and first < free and d < dim:
+                    dim = d
+                if free < self.end[s] and (d < best or found < 0 or queue[free] < found):
+                    best, found = d, queue[free]
+        return found, dim <= best
+
+
+def greedy_tile(at: np.ndarray, source: np.ndarray, own: np.ndarray, inside: np.ndarray, eps: float) -> list[tuple[int, int]]:
+    """(point, welded to) of the points of a tile, in the order of ids, that hold whatever lies beyond its halo: those whose
+    first is the tile's own, with all that it takes. Points within eps of the halo's end may be taken from there, so they
+    are in doubt, as is what they would take."""
+    trees = {s: Tree(at, np.flatnonzero(source == s)) for s in np.unique(source)}
+    doubt, gone = (inside <= eps).tolist(), [False] * len(at)
+    mine, kind, out = own.tolist(), source.tolist(), []
+    for i, shaky in enumerate(doubt):
+        if shaky:
+            trees[kind[i]].put_in_doubt(i)
+    for i, (x, y, z) in enumerate(at.tolist()):
+        if gone[i]:
+            continue
+        trees[kind[i]].take(i)
+        shaky, took, sure = doubt[i], [], True
+        for s, tree in trees.items():
+            if s == kind[i]:
+                continue
+            j, dim = tree.nearest(x, y, z, eps * eps, heed=not shaky)
+            if shaky or dim:
+                sure = False
+                if j >= 0:
+                    doubt[j] = True
+                    tree.put_in_doubt(j)
+            elif j >= 0:
+                gone[j] = True
+                tree.take(j)
+                took.append(j)
+        if sure and not shaky and mine[i]:
+            out += [(j, i) for j in [i, *took]]
+    return out
+
+
+def greedy_tiles(side: float, halo: float, shift: float, eps: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        at, tile, own, inside = placed(pdf, side, halo, shift)
+        ids, source = pdf["id"].to_numpy(), pd.factorize(pdf["source"], use_na_sentinel=False)[0]
+        found = []
+        order = np.argsort(tile, kind="stable")
+        for rows in np.split(order, np.cumsum(np.bincount(tile))[:-1]):
+            if own[rows].any():
+                pairs = np.array(greedy_tile(at[rows], source[rows], own[rows], inside[rows], eps), np.int64).reshape(-1, 2)
+                found.append(ids[rows[pairs]])
+        all_found = np.concatenate([np.empty((0, 2), np.int64), *found])
+        return pd.DataFrame({"id": all_found[:, 0], "merged": all_found[:, 1]})
+
+    return run
+
+
+def greedy(points: DataFrame, eps: float) -> DataFrame:
+    """(id, merged): see merge.weld_greedy. Each round welds what its tiles can tell; the rest goes on."""
+    rest, lone = finite(points.select("id", "source", "x", "y", "z"))
+    out, turn, rows = lone.select("id", F.col("id").alias("merged")), 0, None
+    rest = stash(rest, "weld-rest")
+    while rows := rest.count():
+        how = sizes(eps, turn, 4.0, 1.5)
+        told = stash(dealt(rest, *how, rows).groupBy("bucket").applyInPandas(greedy_tiles(*how, eps), "id long, merged long"), "weld-told")
+        out, rest, turn = out.union(told), stash(rest.join(told.select("id"), "id", "left_anti"), "weld-rest"), turn + 1
+    return out

@@ -6,7 +6,7 @@ import io
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from test_additions import plain_multipartite
+from test_additions import plain_greedy, plain_multipartite
 
 from massif.functions import octree, regions
 from massif.operators import bake, merge, shadow, spatial, terrain, welding
@@ -109,3 +109,21 @@ def test_pairs_of_groups_that_wait_for_one_source_are_not_made():
     with_one = lambda: sum(len(q) for q, _, _ in welding.near_pairs(at[:2995], tile[:2995], at[2995:], tile[2995:], 0.1))
     p, q, _ = welding.compatible_pairs(at, tile, mask, 0.1)
     assert len(p) == 2995 * 5 == with_one() and {int(a) for a in mask[p] | mask[q]} == {0b1111}
+
+
+def test_greedy_weld_takes_no_component_whole(spark, monkeypatch):
+    rows, lone = strip_of_points(300, 4)
+    assert welded_without_pairs(spark, monkeypatch, rows, lone, merge.weld_greedy) == plain_greedy(rows, 0.06)
+
+
+def test_a_tile_tells_only_what_holds_beyond_its_halo():
+    rows, _ = strip_of_points(600, 5)
+    at, source = np.array([r[2:] for r in sorted(rows)]), np.array([r[1] for r in sorted(rows)])
+    want, told = plain_greedy([(i, s, *p) for i, (s, p) in enumerate(zip(source.tolist(), at.tolist(), strict=True))], 0.06), 0
+    for low in (0.0, 0.5, 1.0, 1.5):
+        inside = np.minimum(at[:, 0] - low, low + 0.5 - at[:, 0])
+        held = np.flatnonzero(inside >= -0.1)
+        pairs = welding.greedy_tile(at[held], source[held], inside[held] >= 0, inside[held] + 0.1, 0.06)
+        assert {int(held[i]): int(held[j]) for i, j in pairs}.items() <= want.items()
+        told += len(pairs)
+    assert 0 < told < len(at)
