@@ -20,11 +20,11 @@ _SIDES = [(0, 2, 1), (0, 3, 2), (4, 5, 6), (4, 6, 7), (0, 1, 5), (0, 5, 4), (1,
 def columns(spark, sf) -> DataFrame:
     """A block for each valid pixel that orders make, as high as its value: placed triangles seen from outside."""
     p = fx.grown_pixels(spark, sf).filter("valid")
-    low, high = (F.col("px").cast("double"), F.col("py").cast("double"), F.lit(0.0)), (F.col("px") + 1.0, F.col("py") + 1.0, F.col("v").cast("double"))
     pick = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
-    at = [g.point(*[(low, high)[k][i] for i, k in enumerate(c)]) for c in pick]
-    t = p.select(F.explode(F.array(*[F.array(*[at[i] for i in side]) for side in _SIDES])).alias("t"))
-    return t.select(*[F.col("t")[i][c].alias(f"{k}{c}") for i, k in enumerate("abc") for c in "xyz"])
+    far = F.array(*[F.array(*[F.lit(float(at)) for i in side for at in pick[i]]) for side in _SIDES])  # one value, so little code
+    at = {"x": lambda o: F.col("px") + o, "y": lambda o: F.col("py") + o, "z": lambda o: F.col("v") * o}
+    t = p.select("px", "py", "v", F.explode(far).alias("o"))
+    return t.select(*[at[c](F.col("o")[3 * i + j]).alias(f"{k}{c}") for i, k in enumerate("abc") for j, c in enumerate("xyz")])
 
 
 _O = [f"(least({hi}, {HIGH[i]!r}::DOUBLE) - greatest({lo}, {LOW[i]!r}::DOUBLE))" for i, (lo, hi) in enumerate((("px", "px + 1"), ("py", "py + 1"), ("0", "v")))]
